@@ -64,7 +64,7 @@ def position_at(share: Column, slope: Column) -> Column:
     Demand by time t under w(t) = 1 + s(2t - 1) is t(1 - s) + s t^2; this is its inverse on [0, 1].
     """
     root = F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share)
-    return F.when(slope == 0, share).otherwise((F.abs(root - (1 - slope)) / F.abs(2 * slope))
+    return F.when(slope == 0, share).otherwise(F.abs(root - (1 - slope)) / F.abs(2 * slope))
 
 
 def assign_positions(docs: DataFrame, seed: int = 0, cycle=CYCLE, share=SHARE, cap=CAP, slopes=SLOPES) -> DataFrame:
