@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_files", "line_dedup", "quality_rules", "mixing", "bpe"]
+MODULES = ["substring_dedup", "token_files", "line_dedup", "quality_rules", "mixing", "bpe"]
 
 
 def queries() -> dict:
