@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["ngram_join", "substring_dedup", "toxicity", "token_files", "line_dedup", "quality_rules", "mixing", "ann", "bpe"]
+MODULES = ["ngram_join", "substring_dedup", "toxicity", "token_files", "html_extract", "line_dedup", "quality_rules", "mixing", "ann", "bpe"]
 
 
 def queries() -> dict:
