@@ -10,7 +10,7 @@ ever holds a whole source.
 
 Edge cases: null text or text without words has size 0 (it is placed, and takes 0 words); null source is a source of
 its own, ordered last; a null ``doc_id`` is kept; repeated rows are separate documents; an empty table gives an empty
-mix; extra columns are carried by ``training_order`` only when asked for.
+mix; other columns are not read, and carried only by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -67,25 +67,31 @@ def position_at(share: Column, slope: Column) -> Column:
     return F.when(slope == 0, share).otherwise(F.abs(root - (1 - slope)) / F.abs(2 * slope))
 
 
-def assign_positions(docs: DataFrame, seed: int = 0, cycle=CYCLE, share=SHARE, cap=CAP, slopes=SLOPES) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, key, copies.
+def streams(docs: DataFrame, seed: int, carry: list[str]) -> DataFrame:
+    """doc_id, source, size, key, bucket, stream (the source, never null) and ``carry`` as one struct."""
+    stream = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), "source"))
+    kept = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), stream_key(seed).alias("key"), stream.alias("stream"), *kept)
+    return rows.withColumn("bucket", F.substring("key", 1, 3))
+
+
+def assign_positions(docs: DataFrame, seed: int = 0, cycle=CYCLE, share=SHARE, cap=CAP, slopes=SLOPES, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target, key, copies, and ``row`` with the ``carry`` columns.
 
     ``copies`` lists (copy, taken, whole, position), one entry for each pass over the source; taken is how many of the
     copy's words lie before the target, whole tells whether at least half of it does.
     """
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), stream_key(seed).alias("key"))
-    rows = materialise(rows, "mix-sizes").withColumn("bucket", F.substring("key", 1, 3))
-    targets = source_targets(rows, cycle, share, cap)
-    totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    rows = streams(docs, seed, carry or [])
+    narrow = materialise(rows.select("doc_id", "source", "size", "key", "stream", "bucket") if not carry else rows.select("source", "size", "stream", "bucket"), "mix-sizes")
+    rows = rows if carry else narrow
+    targets = source_targets(narrow, cycle, share, cap)
+    totals = narrow.groupBy("stream", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
+    ahead = Window.partitionBy("stream").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("base", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
     info = totals.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
-    info = info.select(
-        F.col("a.source").alias("of_source"), F.col("bucket").alias("of_bucket"), "base", "slot", "source_size", "target"
-    )
-    within = Window.partitionBy("source", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    rows = rows.join(info, F.col("source").eqNullSafe(F.col("of_source")) & (F.col("bucket") == F.col("of_bucket")))
+    info = info.select("stream", "bucket", "base", "slot", "source_size", "target")
+    within = Window.partitionBy("stream", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(info, ["stream", "bucket"])
     start = F.col("base") + F.col("local")
     slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), F.col("slot") % len(slopes) + 1)
     words = F.floor(F.col("target"))
@@ -98,7 +104,8 @@ def assign_positions(docs: DataFrame, seed: int = 0, cycle=CYCLE, share=SHARE, c
         return F.struct(n.alias("copy"), taken.alias("taken"), whole.alias("whole"), position_at(share_at, slope).alias("position"))
 
     copies = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), copy)
-    return rows.select("doc_id", "size", "source", "source_size", "target", "key", copies.alias("copies"))
+    kept = ["row"] if carry else []
+    return rows.select("doc_id", "size", "source", "source_size", "target", "key", copies.alias("copies"), *kept)
 
 
 def training_order(docs: DataFrame, **options) -> DataFrame:
@@ -107,22 +114,11 @@ def training_order(docs: DataFrame, **options) -> DataFrame:
     return rows.drop("whole").orderBy("position", "key", F.col("doc_id").asc_nulls_first(), "copy")
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The documents of the mix, whole copies only, in training order, with the columns of ``docs``."""
-    name = "_mix_key"
-    while name in docs.columns:
-        name += "_"
-    keyed = docs.withColumn(name, stream_key(seed))
-    # Repeated ids share a key; each of their rows, by size, brings its own copies.
-    sized = keyed.withColumn("_size", word_count(F.col("text")))
-    rows = sized.withColumn("_nth", F.row_number().over(Window.partitionBy(name, "source").orderBy("_size")))
-    plan = assign_positions(docs, seed)
-    plan = plan.withColumn("n", F.row_number().over(Window.partitionBy("key", "source").orderBy("size")))
-    plan = plan.select(F.col("source").alias("_source"), F.col("key").alias("_key"), "n", F.filter("copies", lambda c: c["whole"]).alias("_copies"))
-    same = (rows[name] == plan["_key"]) & rows["source"].eqNullSafe(plan["_source"]) & (rows["_nth"] == plan["n"])
-    rows = rows.join(plan.where(F.size("_copies") > 0), same).withColumn("_copy", F.explode("_copies"))
-    ordered = rows.repartitionByRange(F.col("_copy")["position"], F.col("_key")).sortWithinPartitions(F.col("_copy")["position"], "_key")
-    return ordered.select(*[F.col(f"`{c}`") for c in docs.columns])
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents of the mix, whole copies only, range-sorted by position, with the columns of ``docs``."""
+    rows = assign_positions(docs, carry=docs.columns, **options)
+    rows = rows.select("key", "row", F.explode(F.filter("copies", lambda c: c["whole"])).alias("of")).select("key", "row", "of.position")
+    return rows.repartitionByRange("position", "key").sortWithinPartitions("position", "key").select("row.*")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
