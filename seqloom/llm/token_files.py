@@ -19,6 +19,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,8 @@ class Encoder:
     #: Fixed value of the format: its splitting pattern.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     END = "</w>"
+    #: Marks that stand alone after a word; the first letter beyond those that lower-case to one letter.
+    MARKS, LAST = frozenset(".,;:!?"), "\u017f"
     #: ASCII and the letters beside it that lower-case to one letter.
     SETTLED = regex.compile("[!-;=-~À-įı-ž]+")
 
@@ -74,13 +77,16 @@ class Encoder:
             self.pieces = {"": b""}
         if len(self.words) > MEMO:
             self.words = {}
-        cut = {}
+        plain, cut = [], {}
         for p in pieces - self.pieces.keys():
-            if self.SETTLED.fullmatch(p):
+            word = p if p.isalpha() else p[:-1]  # most pieces are a word, or a word and one mark
+            if word.isalpha() and max(word) < self.LAST and "\u0130" not in word and (word is p or p[-1] in self.MARKS):
+                plain.append((p, word.lower(), "" if word is p else p[-1]))
+            elif self.SETTLED.fullmatch(p):
                 cut[p] = self.split(p.lower())
             else:
                 self.pieces[p] = self.whole(p)
-        new = list({w for words in cut.values() for w in words} - self.words.keys())
+        new = list({w for words in cut.values() for w in words}.union((x[1] for x in plain), self.MARKS) - self.words.keys())
         for at in range(0, len(new), 1000):
             some = new[at : at + 1000]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.type)
@@ -92,6 +98,9 @@ class Encoder:
                     start = end
             else:
                 self.words |= {w: self.whole(w) for w in some}
+        own = self.words
+        for p, word, mark in plain:
+            self.pieces[p] = own[word] + own[mark] if mark else own[word]
         for p, words in cut.items():
             self.pieces[p] = b"".join(map(self.words.__getitem__, words))
 
@@ -101,6 +110,12 @@ class Encoder:
         return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
 
 
+@lru_cache(1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder for each Python worker and file; what it remembers serves the worker's next tasks."""
+    return Encoder(path)
+
+
 class FileWriter:
     """Appends documents' ids to one file of sequences and, on close, their places to the file beside it."""
 
@@ -189,7 +204,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 1, length: int = LENGT
             if not batch.num_rows:
                 continue
             if writer is None:
-                encoder = Encoder(path)
+                encoder = encoder_of(path)
                 end = np.array([end_id], encoder.type).tobytes()
                 base = f"{target}/part-{part:06d}-{uuid.uuid4().hex}"
                 writer = FileWriter(base, encoder.type, length)
