@@ -1,9 +1,15 @@
 """All queries of the sequence-graph operators and their SQL."""
 
+from __future__ import annotations
+
+from seqloom.plans import profile_queries
+
+PARTS = [profile_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.ORACLES.items()}
