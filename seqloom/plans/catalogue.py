@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from seqloom.plans import graph_queries, profile_queries
+from seqloom.plans import alignment_queries, graph_queries, profile_queries
 
-PARTS = [profile_queries, graph_queries]
+PARTS = [profile_queries, graph_queries, alignment_queries]
 
 
 def queries() -> dict:
