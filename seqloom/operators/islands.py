@@ -8,13 +8,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_IDX = Window.partitionBy("seq_ord").orderBy("idx")
+def by_idx():
+    return Window.partitionBy("seq_ord").orderBy("idx")
+
 
 
 def _islands(anchors: DataFrame, starts) -> DataFrame:
     rows = anchors.where("val IS NOT NULL").withColumn("diff", F.col("val") - F.col("idx"))
     rows = rows.withColumn("new", F.coalesce(starts, F.lit(True)).cast("int"))
-    rows = rows.withColumn("island", F.sum("new").over(BY_IDX.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("island", F.sum("new").over(by_idx().rowsBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy("seq_ord", "island").agg(
         F.min("val").alias("v0"), F.min("idx").alias("i0"), F.max("val").alias("v1"), F.max("idx").alias("i1"),
         F.min("diff").alias("diff"), F.count(F.lit(1)).alias("n"),
@@ -23,22 +25,22 @@ def _islands(anchors: DataFrame, starts) -> DataFrame:
 
 def strict_islands(anchors: DataFrame) -> DataFrame:
     """Runs in which index and value both grow by one; the weight is the last value less the first."""
-    step = (F.col("idx") - F.lag("idx").over(BY_IDX) != 1) | (F.col("val") - F.lag("val").over(BY_IDX) != 1)
+    step = (F.col("idx") - F.lag("idx").over(by_idx()) != 1) | (F.col("val") - F.lag("val").over(by_idx()) != 1)
     return _islands(anchors, step).select("seq_ord", "v0", "i0", "v1", "i1", (F.col("v1") - F.col("v0")).alias("weight"), "diff")
 
 
 def diagonal_islands(anchors: DataFrame) -> DataFrame:
     """Runs along one diagonal, holes allowed; the weight is the number of anchors."""
-    step = F.col("diff") != F.lag("diff").over(BY_IDX)
+    step = F.col("diff") != F.lag("diff").over(by_idx())
     return _islands(anchors, step).select("seq_ord", "v0", "i0", "v1", "i1", F.col("n").alias("weight"), "diff")
 
 
 def null_runs(anchors: DataFrame) -> DataFrame:
     """Maximal runs without anchors: first and last index, the value before (0 at the head) and after (null: none)."""
     rows = anchors.withColumn("gap", F.col("val").isNull())
-    rows = rows.withColumn("new", F.coalesce(F.col("gap") != F.lag("gap").over(BY_IDX), F.lit(True)).cast("int"))
-    rows = rows.withColumn("before", F.lag("val").over(BY_IDX)).withColumn("after", F.lead("val").over(BY_IDX))
-    rows = rows.withColumn("run", F.sum("new").over(BY_IDX.rowsBetween(Window.unboundedPreceding, 0))).where("gap")
+    rows = rows.withColumn("new", F.coalesce(F.col("gap") != F.lag("gap").over(by_idx()), F.lit(True)).cast("int"))
+    rows = rows.withColumn("before", F.lag("val").over(by_idx())).withColumn("after", F.lead("val").over(by_idx()))
+    rows = rows.withColumn("run", F.sum("new").over(by_idx().rowsBetween(Window.unboundedPreceding, 0))).where("gap")
     return rows.groupBy("seq_ord", "run").agg(
         F.min("idx").alias("first"), F.max("idx").alias("last"),
         F.coalesce(F.min_by("before", "idx"), F.lit(0)).alias("before"), F.max_by("after", "idx").alias("after"),
