@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release, table, text_bytes
+from .common import discard, materialise, release, table, text_bytes
 from .shards import bucket_count, bucket_of, dealt, joined, shard_count
 from .shingles import WordHashes, hash_words, mix, multipliers, split_words, window_hashes
 from .substring_dedup import TOLD, tell, within
@@ -347,13 +347,16 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     found = materialise(classes_and_prints(rows, bucket_count(size, 6), shift), "sets")
     release(spark)
     shared = materialise(shared_prints(found), "shared")
-    release(spark)
     members = found.where("kind = 0").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "rep", "shard")
+    members = materialise(members, "members")
+    discard(found)
+    release(spark)
     classes = members.groupBy("rep").agg(
         F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("weight"), F.min(F.struct("shard", "doc_id")).alias("at"), F.max("n_shingles").alias("n")
     )
     classes = materialise(classes, "classes")
     prefix = materialise(prefixes(rows, shared, shift), "prefixes")
+    discard(shared)
     release(spark)
     tied = components(tie_rows(prefix), "ties").select(F.col("id").alias("rep"), F.col("component").alias("tie"))
     info = classes.join(tied, "rep")

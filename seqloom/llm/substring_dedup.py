@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, release, table, text_bytes
+from .common import discard, materialise, release, table, text_bytes
 from .shards import bucket_count, cuts, dealt, joined, shard_count
 from .shingles import WordHashes, hash_words, multipliers, split_words, window_hashes
 
@@ -161,6 +161,7 @@ def marked(docs: DataFrame, digest: bool) -> DataFrame:
     seeds = repeated_seeds(rows, bucket_count(size, 16))
     release(spark)
     sources = smaller_sources(rows, seeds, bucket_count(size, 12))
+    discard(seeds)
     release(spark)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" if digest else (
         "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,n_words:long,source:long>>"
