@@ -37,8 +37,10 @@ def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
 
 def cuts(hashes: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, start, end) of each bucket that has any of the sorted hashes."""
+    if not len(hashes):
+        return []
     of = bucket_of(hashes, buckets)
-    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     return list(zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True))
 
 
