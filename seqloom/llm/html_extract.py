@@ -235,6 +235,11 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
     return found.groupBy("host").applyInArrow(wholly, "host string, wrapper string, container string")
 
 
+def inside(blocks: list[tuple[str, bool, str]], box: str) -> list[str]:
+    """Article texts of the blocks in a container (empty: the whole page)."""
+    return [t for path, fine, t in blocks if fine and (not box or path == box or path.startswith(f"{box}/"))]
+
+
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text of each page."""
     wrappers = host_wrappers(pages).select(F.col("host").alias("of"), "container", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("part"))
@@ -245,8 +250,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
         for batch in slices(batches, 200):
             texts = []
             for page, box in zip(batch.column("html").to_pylist(), batch.column("container").to_pylist(), strict=True):
-                box = box or ""
-                texts.append(" ".join(t for path, fine, t in blocks_of(page) if fine and (path == box or path.startswith(box + "/") or not box)))
+                blocks = blocks_of(page)
+                found = inside(blocks, box or "")
+                if not found and blocks:  # the page isn't of the host's form: it is a wrapper of its own
+                    found = inside(blocks, main_container(fold([[p, False, False, None, len(t), fine] for p, fine, t in blocks])))
+                texts.append(" ".join(found))
             yield pa.RecordBatch.from_arrays([batch.column("page_id").cast(pa.int64()), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return rows.select("page_id", "url", "html", "container").mapInArrow(run, "page_id long, url string, text string")
