@@ -147,6 +147,12 @@ def reachable(g: Dag, sources, forward: bool = True, allowed=None) -> np.ndarray
     return seen
 
 
+def stays_acyclic(g: Dag, nodes) -> bool:
+    """Whether the nodes can become one without a cycle: none of them leads to another."""
+    nodes = set(nodes)
+    return not any(nodes & set(np.flatnonzero(reachable(g, g.children(v).tolist())).tolist()) for v in nodes)
+
+
 def without_degenerate(g: Dag, clean: np.ndarray, starts, ends) -> np.ndarray:
     """Clean nodes on a path of clean nodes from a start to an end."""
     kept = reachable(g, starts, True, clean) & reachable(g, ends, False, clean)

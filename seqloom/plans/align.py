@@ -155,10 +155,11 @@ def assembled(states: DataFrame, length: int) -> tuple[DataFrame, int]:
     return cells, int(total)
 
 
-def aligned(seqs: DataFrame, k: int, chunk: int, write) -> tuple[DataFrame, DataFrame]:
+def aligned(seqs: DataFrame, k: int, chunk: int, write, draw_up_to: int | None = 40_000) -> tuple[DataFrame, DataFrame | None]:
     """report (param_id, sp, entropy, length, best flags) and rows (row, aligned) of the alignment with least entropy.
 
-    ``write`` puts a DataFrame into shared storage and reads it back.
+    ``write`` puts a DataFrame into shared storage and reads it back.  Rows are drawn for at most ``draw_up_to``
+    sequences (null: always); the report comes for any number.
     """
     graphs = write(build_graphs(seqs, k, chunk))
     final = merge_graphs(graphs, write)
@@ -178,6 +179,8 @@ def aligned(seqs: DataFrame, k: int, chunk: int, write) -> tuple[DataFrame, Data
         reports = row if reports is None else reports.unionByName(row)
     report = write(alignment.ranked_report(reports))
     best = report.where("best_entropy").first()["param_id"]
+    if draw_up_to is not None and n_rows > draw_up_to:
+        return report, None
     cells, n_cols = drawn[best]
     rows = cells.select("row").distinct()
     return report, alignment.rendered_rows(cells, rows, n_cols)

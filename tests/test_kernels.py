@@ -75,6 +75,9 @@ def test_unitigs_and_islands():
     of, paths, links = kernels.unitigs(g)
     assert paths == [[0, 1], [2], [3], [4]] and len(links) == 4 and of[1] == 0
     assert kernels.islands(5, [0, 3], [1, 4]).tolist() == [0, 0, 2, 3, 3]
+    assert kernels.stays_acyclic(g, [2, 3]) and not kernels.stays_acyclic(g, [0, 4])
+    clean = np.array([True, True, False, True, True])
+    assert kernels.without_degenerate(g, clean, [0], [4]).tolist() == [True, True, False, True, True]
 
 
 def test_builder_keeps_sequences_and_levels():
