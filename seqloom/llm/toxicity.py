@@ -1,13 +1,13 @@
-"""Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity from the nearest labelled examples, by exact cosine over an inverted index of all their terms.
 
-The examples are a bounded sample of the labelled rows (at most EXAMPLES, by a hash of their ids).  Their terms that go
-with the label (chi-squared of document counts at least ASSOCIATED, which chance seldom reaches among a million terms) are the vocabulary, at most TERMS of them.  Document
-frequencies are counted over all documents.  Examples lie in blocks; for each term the index keeps its postings and its
-largest weight in each block, so a query's bound on a block is a sum of maxima, and blocks are read in falling order of
-bounds until none can beat the nearest found: the neighbours are exact.  Votes are weighted by distance, and an isotonic
-fit of the examples' own votes (each without itself) turns them into probabilities.
+The examples are a bounded sample of the labelled rows (at most EXAMPLES, by a hash of their ids).  Every term of their
+texts is indexed.  Its weight is its TF-IDF, document frequencies being counted over all documents, times
+sqrt(1 + chi-squared of term and label among the examples): plain TF-IDF for terms that tell nothing of the label, more for
+those that do.  All postings of a query's terms are added up, so the neighbours are exact; terms of many examples are kept
+as whole rows of weights, the others as postings.  Votes are weighted by distance, and an isotonic fit of the examples' own
+votes (each without itself) turns them into probabilities.
 
-Edge cases: null or empty text has no terms, and like every text without a term of the vocabulary gets the rate of toxic
+Edge cases: null or empty text has no terms, and like every text without a term of any example gets the rate of toxic
 examples without any; labels that are null, or of unknown documents, are ignored; with repeated ids every row is scored;
 without examples every score is 0; texts of any length are read whole; an empty table gives an empty result.  Labels,
 language, source and id are no inputs of a score.
@@ -17,21 +17,24 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
 from .common import materialise, table
 
-EXAMPLES, TERMS, ASSOCIATED, LEAST_DOCS = 16384, 2048, 30.0, 3
-NEIGHBOURS, BLOCK, CLOSEST = 15, 64, 0.05
+EXAMPLES = 16384
+NEIGHBOURS, CLOSEST = 15, 0.05
 THRESHOLD = 0.7
-MEMO = 200_000
+#: Terms of at least this share of the examples are kept as whole rows; results that are kept for texts seen again.
+COMMON, MEMO = 0.05, 2000
 TOKEN = re.compile(r"\w+").findall
 
 
@@ -51,8 +54,8 @@ def chosen_examples(labels: DataFrame) -> DataFrame:
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(EXAMPLES).select(F.col("doc_id").alias("id"), "toxic")
 
 
-def associated_terms(texts: DataFrame) -> list[str]:
-    """The vocabulary, from text and toxic of the examples."""
+def example_terms(texts: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Every term of the examples, from their text and toxic, with its chi-squared against the label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -65,15 +68,11 @@ def associated_terms(texts: DataFrame) -> list[str]:
 
     totals = texts.agg(F.count_if(F.col("toxic") == 0), F.count_if(F.col("toxic") == 1)).first()
     n0, n1 = (float(x or 0) for x in totals)
-    if not n0 or not n1:
-        return []
     counts = texts.select("text", "toxic").mapInArrow(run, "term string, clean long, toxic long").groupBy("term")
-    counts = counts.agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where(F.col("a") + F.col("b") >= LEAST_DOCS)
-    a, b, n = F.col("a"), F.col("b"), n0 + n1
-    off = a * (n1 - b) - b * (n0 - a)
-    chi = F.lit(n) * off * off / (F.lit(n0 * n1) * (a + b) * (n - a - b))
-    rows = counts.where(a + b < n).withColumn("chi", chi).where(F.col("chi") >= ASSOCIATED)
-    return [r["term"] for r in rows.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()]
+    found = counts.agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).toArrow().sort_by("term")
+    a, b = (found.column(c).to_numpy().astype(np.float64) for c in "ab")
+    off, under = a * (n1 - b) - b * (n0 - a), n0 * n1 * (a + b) * (n0 + n1 - a - b)
+    return found.column("term").to_pylist(), np.divide((n0 + n1) * off * off, under, out=np.zeros(len(a)), where=under > 0)
 
 
 def counted(text: str | None, vocabulary: dict[str, int]) -> bytes:
@@ -83,33 +82,44 @@ def counted(text: str | None, vocabulary: dict[str, int]) -> bytes:
 
 
 class Index:
-    """Block-max inverted index of examples."""
+    """Inverted index of examples: of each term its rows and weights, or for common terms a weight for every row."""
 
-    def __init__(self, packed: list[bytes], toxic: list[int], ids: list[int], frequency: np.ndarray, total: int):
-        # Examples with like terms share blocks, which keeps the maxima sharp.
+    def __init__(self, packed: list[bytes], toxic: list[int], ids: list[int], frequency: np.ndarray, total: int, chi: np.ndarray | float = 0.0):
         order = sorted(range(len(packed)), key=lambda i: (packed[i], ids[i]))
-        self.idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float64)
+        self.idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float64) * np.sqrt(1 + np.asarray(chi, np.float64))
         self.ids = np.array([ids[i] for i in order], np.int64)
         self.toxic = np.array([toxic[i] for i in order], np.float64)
-        self.blocks = max(1, -(-len(order) // BLOCK))
-        postings: dict[int, list[tuple[int, float]]] = {}
         self.packed = [packed[i] for i in order]
-        for row, data in enumerate(self.packed):
-            for t, w in zip(*self.vector(data), strict=True):
-                postings.setdefault(int(t), []).append((row, float(w)))
-        self.rows, self.weights, self.cuts, self.most = {}, {}, {}, {}
-        for t, found in postings.items():
-            rows = np.array([r for r, _ in found], np.int64)
-            weights = np.array([w for _, w in found])
-            self.rows[t], self.weights[t] = rows, weights
-            self.cuts[t] = np.searchsorted(rows, np.arange(self.blocks + 1) * BLOCK)
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, rows // BLOCK, weights)
-            self.most[t] = most
+        self.build()
+
+    def __getstate__(self) -> dict:
+        """Only the examples travel, compressed; each worker builds the postings from them."""
+        terms, counts = np.frombuffer(b"".join(self.packed), "<u4").reshape(-1, 2).T
+        columns = [zlib.compress(np.ascontiguousarray(c).tobytes(), 1) for c in (np.diff(terms, prepend=np.uint32(0)), counts)]
+        return {"idf": self.idf, "ids": self.ids, "toxic": self.toxic, "sizes": [len(p) for p in self.packed], "columns": columns}
+
+    def __setstate__(self, state: dict) -> None:
+        self.idf, self.ids, self.toxic = state["idf"], state["ids"], state["toxic"]
+        steps, counts = (np.frombuffer(zlib.decompress(c), "<u4") for c in state["columns"])
+        data, ends = np.stack([np.cumsum(steps, dtype=np.uint32), counts], 1).astype("<u4").tobytes(), np.cumsum(state["sizes"], dtype=np.int64).tolist()
+        self.packed = [data[a:b] for a, b in zip([0, *ends], ends)]
+        self.build()
+
+    def build(self) -> None:
+        vectors = [self.vector(data) for data in self.packed]
+        terms = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])
+        by = np.argsort(terms, kind="stable")
+        self.rows = rows[by]
+        self.weights = np.concatenate([w for _, w in vectors])[by] if vectors else np.zeros(0)
+        self.cuts = np.searchsorted(terms[by], np.arange(len(self.idf) + 1))
+        self.common: dict[int, np.ndarray] = {}
+        for t in np.flatnonzero(np.diff(self.cuts) >= max(1, COMMON * len(self.ids))).tolist():
+            self.common[t] = np.zeros(len(self.ids))
+            self.common[t][self.rows[self.cuts[t] : self.cuts[t + 1]]] = self.weights[self.cuts[t] : self.cuts[t + 1]]
         empty = np.array([not p for p in self.packed], bool)
-        self.rate_without = float((self.toxic[empty].sum() + self.base()) / (empty.sum() + 1)) if len(order) else 0.0
-        self.memo: dict[tuple[bytes, int], tuple] = {}
-        self.steps: tuple[np.ndarray, np.ndarray] | None = None
+        self.rate_without = float((self.toxic[empty].sum() + self.base()) / (empty.sum() + 1)) if len(self.ids) else 0.0
+        self.memo: dict[bytes, tuple] = {}
 
     def base(self) -> float:
         return float(self.toxic.mean()) if len(self.toxic) else 0.0
@@ -122,22 +132,23 @@ class Index:
 
     def nearest(self, data: bytes, k: int = NEIGHBOURS, but: int = -1) -> list[tuple[float, int]]:
         """The k largest (cosine, example), nearest first, ties by example; ``but`` is left out."""
-        query = [(int(t), w) for t, w in zip(*self.vector(data), strict=True) if int(t) in self.rows]
-        if not query:
+        terms, weights = self.vector(data)
+        if not len(terms) or not len(self.ids):
             return []
-        bounds = sum(w * self.most[t] for t, w in query)
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(found) == k and bounds[b] < -found[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for t, w in query:
-                lo, hi = self.cuts[t][b], self.cuts[t][b + 1]
-                if lo < hi:
-                    scores[self.rows[t][lo:hi] - b * BLOCK] += w * self.weights[t][lo:hi]
-            hits = np.flatnonzero(scores > 0)
-            found += [(-float(scores[h]), b * BLOCK + h) for h in hits.tolist() if b * BLOCK + h != but]
-            found = sorted((round(s, 12), r) for s, r in found)[:k]
+        whole = np.fromiter((t in self.common for t in terms.tolist()), bool, len(terms))
+        rare, w = terms[~whole], weights[~whole]
+        lo = self.cuts[rare]
+        n = self.cuts[rare + 1] - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        scores = np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(w, n), minlength=len(self.ids)).astype(np.float64)
+        part = np.empty(len(self.ids))
+        for t, w in zip(terms[whole].tolist(), weights[whole].tolist(), strict=True):
+            scores += np.multiply(self.common[t], w, out=part)
+        if but >= 0:
+            scores[but] = 0
+        least = np.partition(scores, -k)[-k] if len(scores) > k else 0.0
+        hits = np.flatnonzero((scores > 0) & (scores >= least - 1e-11))
+        found = sorted((-round(s, 12), r) for s, r in zip(scores[hits].tolist(), hits.tolist(), strict=True))[:k]
         return [(-s, r) for s, r in found]
 
     def vote(self, near: list[tuple[float, int]]) -> float:
@@ -145,7 +156,7 @@ class Index:
         weights = [1 / (CLOSEST + 1 - min(1.0, s)) for s, _ in near]
         return (sum(w * self.toxic[r] for w, (_, r) in zip(weights, near, strict=True)) + self.base()) / (sum(weights) + 1)
 
-    def calibrate(self, votes: np.ndarray, rows: np.ndarray) -> None:
+    def calibrate(self, votes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Isotonic fit (pooled neighbours) of the examples' labels by their votes, each pool with one vote of 1/2."""
         order = np.lexsort((rows, votes))
         pools: list[list[float]] = []  # sum, size, least vote
@@ -155,10 +166,10 @@ class Index:
                 y1, n1, _ = pools.pop()
                 pools[-1][0] += y1
                 pools[-1][1] += n1
-        self.steps = (np.array([p[2] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools]))
+        return (np.array([p[2] for p in pools]), np.array([(p[0] + 0.5) / (p[1] + 1) for p in pools]))
 
-    def score(self, data: bytes) -> tuple[float, list[tuple[float, int]]]:
-        if not len(self.ids) or self.steps is None:
+    def score(self, data: bytes, steps: tuple[np.ndarray, np.ndarray]) -> tuple[float, list[tuple[float, int]]]:
+        if not len(self.ids):
             return 0.0, []
         if not data:
             return self.rate_without, []
@@ -166,57 +177,51 @@ class Index:
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             near = self.nearest(data)
-            at = int(np.searchsorted(self.steps[0], self.vote(near), side="right")) - 1
-            self.memo[data] = (float(self.steps[1][max(0, at)]) if len(self.steps[1]) else self.base(), near)
+            at = int(np.searchsorted(steps[0], self.vote(near), side="right")) - 1
+            self.memo[data] = (float(steps[1][max(0, at)]) if len(steps[1]) else self.base(), near)
         return self.memo[data]
 
 
-def document_terms(docs: DataFrame, words: list[str]) -> DataFrame:
-    """doc_id and packed terms of each document."""
-    vocabulary = {w: i for i, w in enumerate(words)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            packed = [counted(t, vocabulary) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "terms"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, terms binary")
-
-
-def document_frequency(terms: DataFrame, size: int) -> tuple[np.ndarray, int]:
+def document_frequency(docs: DataFrame, vocabulary: Broadcast) -> tuple[np.ndarray, int]:
     """In how many documents each term occurs, and the number of documents."""
+    size = len(vocabulary.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(size, np.int64), 0
-        for batch in batches:
+        counts, n, known = np.zeros(size, np.int64), 0, vocabulary.value
+        for batch in slices(batches):
             n += batch.num_rows
-            for data in batch.column("terms").to_pylist():
-                counts[np.frombuffer(data, "<u4")[::2]] += 1
+            for text in batch.column("text").to_pylist():
+                counts[[i for w in set(tokens(text)) if (i := known.get(w)) is not None]] += 1
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int64()), pa.array([n, *counts[held].tolist()], pa.int64())], ["term", "n"])
 
-    counts, total = np.zeros(size, np.int64), 0
-    for r in terms.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():  # TERMS + 1 rows at most
-        if r["term"] < 0:
-            total = r["n"]
-        else:
-            counts[r["term"]] = r["n"]
-    return counts, total
+    found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the examples, and one
+    term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
+    counts = np.zeros(size, np.int64)
+    counts[term[term >= 0]] = n[term >= 0]
+    return counts, int(n[term < 0].sum())
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame, object]:
-    """The vocabulary, the documents' terms, and the broadcast index (its size is bounded by EXAMPLES and TERMS)."""
+def learn(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, Broadcast, tuple[np.ndarray, np.ndarray]]:
+    """The vocabulary and the index, broadcast (their sizes are bounded by the texts of EXAMPLES rows), and the calibration."""
     spark = docs.sparkSession
     sample = materialise(chosen_examples(labels), "examples")
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id"))
     texts = materialise(texts.select("id", "text", "toxic"), "example-texts")
-    words = associated_terms(texts)
-    terms = materialise(document_terms(docs, words), "terms")
-    frequency, total = document_frequency(terms, len(words))
-    rows = terms.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("id", "terms", "toxic")
-    # EXAMPLES rows of at most TERMS terms; of rows that share an id, one
-    rows = rows.groupBy("id").agg(F.min(F.struct("terms", "toxic")).alias("row")).select("id", "row.*").collect()
-    index = Index([bytes(r["terms"]) for r in rows], [r["toxic"] for r in rows], [r["id"] for r in rows], frequency, total)
+    words, chi = example_terms(texts)
+    vocabulary = spark.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    frequency, total = document_frequency(docs, vocabulary)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = vocabulary.value
+        for batch in slices(batches):
+            terms = pa.array([counted(t, known) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.int64()), terms, batch.column("toxic").cast(pa.int64())], ["id", "terms", "toxic"])
+
+    rows = texts.mapInArrow(packed, "id long, terms binary, toxic long")
+    # of rows that share an id, one
+    rows = rows.groupBy("id").agg(F.min(F.struct("terms", "toxic")).alias("row")).select("id", "row.*").toArrow()
+    index = Index(*(rows.column(c).to_pylist() for c in ("terms", "toxic", "id")), frequency, total, chi)
     shared = spark.sparkContext.broadcast(index)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,34 +232,33 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[list[str], DataFrame, obj
             yield pa.RecordBatch.from_arrays([pa.array(asked, pa.int64()), pa.array(found, pa.float64())], ["row", "vote"])
 
     own = spark.range(len(index.ids)).repartition(spark.sparkContext.defaultParallelism * 2).mapInArrow(votes, "row long, vote double").toArrow()
-    index.calibrate(own.column("vote").to_numpy(), own.column("row").to_numpy())
-    return words, terms, spark.sparkContext.broadcast(index)
+    return vocabulary, shared, index.calibrate(own.column("vote").to_numpy(), own.column("row").to_numpy())
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, score and evidence (the nearest examples, their cosine and label) of each document."""
-    _, terms, shared = learn(docs, labels)
+    vocabulary, shared, steps = learn(docs, labels)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, known = shared.value, vocabulary.value
         for batch in slices(batches):
-            found = [own.score(data) for data in batch.column("terms").to_pylist()]
+            found = [own.score(counted(t, known), steps) for t in batch.column("text").to_pylist()]
             near = [[{"doc_id": int(own.ids[r]), "cosine": s, "toxic": int(own.toxic[r])} for s, r in n] for _, n in found]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s for s, _ in found], pa.float64()), pa.array(near, evidence)], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([s for s, _ in found], pa.float64()), pa.array(near, evidence)], ["doc_id", "score", "evidence"])
 
-    return terms.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,cosine:double,toxic:int>>")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score under ``threshold``, with all columns."""
-    words, _, shared = learn(docs, labels)
-    vocabulary, at = {w: i for i, w in enumerate(words)}, docs.columns.index("text")
+    vocabulary, shared, steps = learn(docs, labels)
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own, known = shared.value, vocabulary.value
         for batch in slices(batches):
-            keep = [own.score(counted(t, vocabulary))[0] < threshold for t in batch.column(at).to_pylist()]
+            keep = [own.score(counted(t, known), steps)[0] < threshold for t in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -328,6 +328,36 @@ def test_toxicity_on_held_out_rows(spark):
     assert kept == {i for i, s in scores.items() if s < 0.7}
 
 
+def test_toxicity_uses_all_terms_of_the_examples(spark):
+    """Few examples, whose insults are each too rare to stand out alone: neighbours by brute force over all terms."""
+    ship(spark)
+    rnd = random.Random(3)
+    docs, known = [], []
+    for i in range(90):
+        toxic = int(i % 6 == 0)
+        w = [f"word{rnd.randrange(60)}" for _ in range(20)] + rnd.sample([f"insult{j}" for j in range(8)], 3) * toxic
+        docs.append((i, " ".join(w)))
+        known.append((i, 1, toxic))
+    rows = toxicity.score_documents(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, quality int, toxic int")).collect()
+    learnt = [i for i, _ in docs if zlib.crc32(str(i).encode()) % 3 != 1]
+    counts = [collections.Counter(t.split()) for _, t in docs]
+    weight = {}
+    n1 = sum(known[i][2] for i in learnt)
+    n0 = len(learnt) - n1
+    for t in {t for i in learnt for t in counts[i]}:
+        b = sum(known[i][2] for i in learnt if t in counts[i])
+        a = sum(t in counts[i] for i in learnt) - b
+        chi = (n0 + n1) * (a * (n1 - b) - b * (n0 - a)) ** 2 / (n0 * n1 * (a + b) * (n0 + n1 - a - b))
+        weight[t] = (np.log((1 + len(docs)) / (1 + sum(t in c for c in counts))) + 1) * np.sqrt(1 + chi)
+    vectors = [{t: (1 + np.log(n)) * weight[t] for t, n in c.items() if t in weight} for c in counts]
+    norms = [np.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    for r in rows:
+        v = vectors[r["doc_id"]]
+        cosine = {i: sum(x * vectors[i].get(t, 0) for t, x in v.items()) / norms[r["doc_id"]] / norms[i] for i in learnt}
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx(sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS])
+        assert all(e["cosine"] == pytest.approx(cosine[e["doc_id"]]) for e in r["evidence"])
+
+
 def test_toxicity_edge_cases(spark, edge_docs, labels):
     found = toxicity.score_documents(edge_docs, labels).collect()
     assert len(found) == edge_docs.count() and all(0 <= r["score"] <= 1 for r in found)
