@@ -7,8 +7,8 @@ streams and wrappers are merged in a tree (task, then salted part of a host, the
 pages is never one group; equal streams are one entry with a count.
 
 A wrapper's main container is its article or main element, or else the container with most text in slots.  A page's
-main text is the blocks of that container but for those inside elements that hold no article text by their name, class
-or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
+main text is the blocks of that container but for those inside elements that hold no article text by their name or by a
+whole word of their class, id or role (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments).
 
 Edge cases: null or empty html has no text; pages with a null url share a wrapper; broken or unclosed markup is read as
 far as it goes; very long pages are read whole; repeated rows give repeated rows; an empty table gives an empty result;
@@ -50,7 +50,9 @@ TAGS = re.compile(
     r".*?(?:</(?P=hidden)\s*>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+#: Elements that hold a page's text whatever their names say.
+ALWAYS_TEXT = {"html", "body", "main", "article"}
+ATTRIBUTES = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[a-zA-Z]+")
 SALTS, LONGEST_GROUP, KNOWN = 32, 6, 2000
 
@@ -103,8 +105,9 @@ def blocks_of(page: str | None) -> list[tuple[str, bool, str]]:
             at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][3]), None)
             if at is not None and stack[at][0] in closes:
                 pop(at)
-        words = {w.lower() for v in NAMED.findall(m["rest"]) for w in WORDS.findall("".join(v))}
-        bad = name in NO_TEXT or not words.isdisjoint(NO_TEXT_WORDS)
+        names = " ".join("".join(v) for a, *v in ATTRIBUTES.findall(m["rest"]) if a.lower() in ("class", "id", "role")).lower()
+        words = set(WORDS.findall(names))
+        bad = name in NO_TEXT or name not in ALWAYS_TEXT and not NO_TEXT_WORDS.isdisjoint(names.split())
         if bad and not block:
             end_block()
         above = stack[-1] if stack else ("", "", True, True)

@@ -383,6 +383,17 @@ def test_main_texts(spark):
     assert (found[20], found[21], found[22], found[None]) == ("", "", "cut &am", "just text")
 
 
+def test_names_that_only_hold_a_word_of_the_list_keep_their_text(spark):
+    ship(spark)
+    bodies = [
+        '<body class="has-sidebar"><p>{}</p></body>', '<body class="sidebar"><article class="post comments"><p>{}</p></article></body>', '<body><article class="post comments-open"><p>{}</p></article></body>',
+        '<body><div id="content-with-nav"><p>{}</p></div></body>', '<body><div data-id="menu"><p>{}</p></div></body>', '<body><div><p>{}</p></div><div class="big Footer">x</div></body>',
+    ]
+    pages = [(10 * i + j, f"http://n{i}.example/{j}", b.format(f"Text {j} here")) for i, b in enumerate(bodies) for j in range(3)]
+    for r in html_extract.main_texts(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert r["text"] == f"Text {r['page_id'] % 10} here"
+
+
 def test_wrapper_alignment():
     place = lambda p, text: [p, False, False, text, len(text), True]
     a = html_extract.fold([place("a/h1", "x"), place("a/p", "1"), place("a/p", "2"), place("f", "c")])
