@@ -46,7 +46,7 @@ NO_TEXT_WORDS = set(
 )
 MAIN = ("article", "main")
 TAGS = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?P<hidden>script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video)\b[^>]*>"
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<(?:svg|math)(?=[\s/>])[^>]*(?<=/)>|<(?P<hidden>script|style|noscript|template|textarea|svg|math|iframe|object|canvas|audio|video)(?=[\s/>])[^>]*>"
     r".*?(?:</(?P=hidden)\s*>|$)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:\"[^\"<]*\"|'[^'<]*'|[^'\">])*)>|<[!?/][^>]*>|(?P<text>[^<]+|<)",
     re.S | re.I,
 )

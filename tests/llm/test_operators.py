@@ -394,6 +394,11 @@ def test_names_that_only_hold_a_word_of_the_list_keep_their_text(spark):
         assert r["text"] == f"Text {r['page_id'] % 10} here"
 
 
+def test_text_after_self_closed_and_custom_elements():
+    for part in ("<svg width='1'/>", "<svg/>", "<math />", "<video-js id=x></video-js>", "<svg><path d='x'/><title>no</title></svg>", "<script>no</script>"):
+        assert [t for _, _, t in html_extract.blocks_of(f"<article><p>one {part}</p><p>two</p></article>")] == ["one", "two"]
+
+
 def test_wrapper_alignment():
     place = lambda p, text: [p, False, False, text, len(text), True]
     a = html_extract.fold([place("a/h1", "x"), place("a/p", "1"), place("a/p", "2"), place("f", "c")])
