@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import html
+import pickle
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -394,16 +396,78 @@ def test_names_that_only_hold_a_word_of_the_list_keep_their_text(spark):
         assert r["text"] == f"Text {r['page_id'] % 10} here"
 
 
+def article_blocks(page):
+    return [t for _, _, t, _ in html_extract.blocks_of(page)]
+
+
 def test_text_after_self_closed_and_custom_elements():
-    for part in ("<svg width='1'/>", "<svg/>", "<math />", "<video-js id=x></video-js>", "<svg><path d='x'/><title>no</title></svg>", "<script>no</script>"):
-        assert [t for _, _, t in html_extract.blocks_of(f"<article><p>one {part}</p><p>two</p></article>")] == ["one", "two"]
+    for part in ("<svg width='1'/>", "<svg/>", "<math />", "<video-js id=x></video-js>", "<svg><path d='x'/><title>no</title></svg>", "<script>no</script>", "<script>a<b</SCRIPT >"):
+        assert article_blocks(f"<article><p>one {part}</p><p>two</p></article>") == ["one", "two"]
+
+
+def test_broken_markup_loses_no_text():
+    assert article_blocks("<p title=it's>It is</p><p>if a<b then</p><p>1 < 2 &lt; 3</p><p data-x='<b>'>q</p>") == ["It is", "if a<b then", "1 < 2 < 3", "q"]
+    assert article_blocks("<p>a <a href='x>y</p><p>b</p>") == ["a y", "b"]
+    assert article_blocks("<div><svg><g></div><p>after an open svg</p>") == ["after an open svg"]
+    assert article_blocks("<p>x</p><!-- open comment <p>no</p>") == ["x"]
+    assert html_extract.main_text(html_extract.blocks_of("<article><p>see <a class='related'>this one</a> too</p></article>"), None) == "see this one too"
+
+
+def test_markup_is_read_in_one_pass():
+    start = time.time()
+    for page in ("<a " * 100_000, "<a x='" * 100_000, "<!-- " * 100_000, "<script>" * 100_000, "</x" * 100_000, "<p>" * 20_000 + "text"):
+        html_extract.blocks_of(page)
+    rnd = random.Random(5)
+    long = ["".join(f"<div class={rnd.choice('abcdefgh')}><h{rnd.randrange(1, 7)}>t{i} {rnd.random()}</h2></div>" for i in range(10_000)) for _ in range(2)]
+    first, second = (html_extract.stream_of(html_extract.blocks_of(x)) for x in long)
+    assert len(html_extract.align(first, second)) <= html_extract.LONGEST_WRAPPER
+    assert time.time() - start < 20
+
+
+def pages_of(*bodies):
+    return [html_extract.blocks_of(f"<html><body>{b}</body></html>") for b in bodies]
+
+
+def form_of(pages):
+    return html_extract.decisions(html_extract.merged([html_extract.stream_of(p) for p in pages]))
+
+
+def test_the_wrapper_decides_where_no_element_is_called_article():
+    """One page has more text beside its story than in it: only the other pages of the host tell which is which."""
+    side = lambda i: f"<p>{f'aside {i} ' * (40 if i == 3 else 1)}</p>"
+    bodies = [f"<div id=left>{side(i)}</div><div id=mid><h2>Head {i}</h2><p>{f'story {i} ' * 20}</p><p>more of {i}</p><div>All rights kept</div></div>" for i in range(60)]
+    pages = pages_of(*bodies)
+    form = form_of(pages)
+    assert form["box"] == "/html/body/div.mid"
+    for i, page in enumerate(pages):
+        assert html_extract.main_text(page, form) == f"Head {i} {' '.join([f'story {i}'] * 20)} more of {i}"
+    assert "aside" in html_extract.main_text(pages[3], None) and "All rights kept" in html_extract.main_text(pages[3], None)
+
+
+def test_containers_lose_no_part_of_the_text():
+    both = pages_of(*[f"<div class=intro><p>{f'intro {i} ' * 10}</p></div><div class=body><p>{f'body {i} ' * 30}</p></div>" for i in range(3)])
+    assert all("intro" in html_extract.main_text(p, form_of(both)) and "body" in html_extract.main_text(p, form_of(both)) for p in both)
+    card = pages_of(*[f"<main><div>{f'long {i} ' * 50}</div><article class=card>teaser {i}</article></main>" for i in range(3)])
+    assert all("long" in html_extract.main_text(p, form_of(card)) for p in card)
+    form = form_of(pages_of(*[f"<div class=post><p>{f'post {i} ' * 30}</p></div>" for i in range(6)]))
+    assert html_extract.main_text(pages_of("<table><tr><td>another form</td></tr></table>")[0], form) == "another form"
+    inside = pages_of(*[f"<div class=comments><p>{f'all {i} ' * 30}</p></div><div class=menu>m{i}</div>" for i in range(3)])
+    assert html_extract.main_text(inside[0], form_of(inside)) == " ".join(["all 0"] * 30)
 
 
 def test_wrapper_alignment():
-    place = lambda p, text: [p, False, False, text, len(text), True]
-    a = html_extract.fold([place("a/h1", "x"), place("a/p", "1"), place("a/p", "2"), place("f", "c")])
-    b = html_extract.fold([place("a/h1", "y"), place("a/ad", "!"), place("a/p", "3"), place("f", "c")])
-    assert html_extract.expression(html_extract.align(a, b)) == "a/h1# (a/ad=)? (a/p#)+ f="
+    wrapper = html_extract.merged([html_extract.stream_of(p) for p in pages_of("<h1>x</h1><p>1</p><p>2</p><div>c</div>", "<h1>y</h1><b>!</b><p>3</p><div>c</div>")])
+    assert html_extract.expression(wrapper) == "/html/body/h1# (/html/body=)? (/html/body/p#)+ /html/body/div="
+    places = lambda *names: [[n, False, False, 1, 1, 0, [1], []] for n in names]
+    found = html_extract.align(places("h1", "p", "f"), places("h1", "ad", "p", "p", "f"))
+    assert html_extract.expression(found) == "h1= (ad=)? (p=)+? f="
+
+
+def test_forms_of_hosts_beyond_the_broadcast_bound(spark, monkeypatch):
+    ship(spark)
+    pages = spark.createDataFrame([(i, f"http://h{min(i, 9)}.example/{i}", f"<div><p>Text {i}</p></div>") for i in range(30)], "page_id long, url string, html string")
+    monkeypatch.setattr(html_extract, "HEAVY", 3)
+    assert sorted((r["page_id"], r["text"]) for r in html_extract.main_texts(pages).collect()) == [(i, f"Text {i}") for i in range(30)]
 
 
 def test_empty_tables(spark, edge_docs, labels):
