@@ -1,19 +1,24 @@
 """Substring dedup: repeated runs of words as compacted paths of a de Bruijn graph.
 
-Nodes are runs of SPAN - 1 words, edges (token k-mers) runs of SPAN words.  An edge that starts in several documents is
-repeated; its source is the smallest document that has it.  Consecutive repeated edges of a document with one source
-form a nonbranching path and compact into one span (start, words, source); spans lie at the source coordinates of the
-document that loses them, where the words they cover are cut out.
-
-Finding repeated edges takes three passes over sharded text, joined with hash buckets:
-
-1. each shard sends the seeds of its edges (the least hash of the 8-word runs inside an edge: 2 in 7 edges bring a new
-   one), and buckets answer which seeds occur in several documents.  Equal edges have equal seeds, so
-2. only edges with a repeated seed are candidates; shards send their hashes with the shard's smallest document, and
-   buckets answer with the smallest document of all, where that is smaller;
-3. each document marks the edges whose source is smaller than itself, and compacts them.
-
-Edges are told apart by 64-bit hashes, and only among edges whose independent 64-bit seeds repeat as well.
+Nodes are runs of SPAN - 1 words; an edge (a token k-mer) is a run of SPAN words from one node to the next.  An edge that
+starts in several documents is repeated.  A link between an edge and the next is nonbranching if all places of either
+have the other beside them: the same next word, and the same word before (the end of a text is a neighbour of its own).
+Maximal runs of repeated edges over nonbranching links are the compacted paths.  All places of an edge have the same
+neighbours in such a path, so a path is in the same documents as each of its edges, and one row stands for all of them.
+
+Documents are dealt to shards, edges to hash buckets; each join between them carries packed arrays.
+
+1. Shards send the seeds of their edges (the least hash of the 8-word runs inside an edge: 2 in 7 edges bring a new one), and
+   buckets answer which seeds occur in several documents.  Equal edges have equal seeds, so
+2. only edges with a repeated seed are candidates.  Shards send their hashes with the neighbouring words and the documents,
+   and buckets answer which are repeated, and which of their links branch.
+3. Shards compact their documents' paths and give one row for each path they hold: its smallest document and place there (the
+   source's coordinates), and a 128-bit digest of the words between them.  A join on the digest finds each path's source.
+4. Documents lose the words of paths whose source is a smaller document.  Paths that lie end to end here and at their source
+   are one span.
+
+Edges are found by 64-bit hashes, but nothing is removed on such a hash: a span must have the digest of the words at its
+source.  Colliding edges only make links branch, so that paths are shorter, in all places alike.
 
 Edge cases: null or empty text has no words and loses none; fewer than SPAN words make no edge; documents with a null
 ``doc_id`` are no one's source and lose nothing; rows that share a ``doc_id`` don't remove each other's words; texts
@@ -26,42 +31,46 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, release, table, text_bytes
 from .shards import bucket_count, cuts, dealt, joined, shard_count
-from .shingles import WordHashes, hash_words, multipliers, split_words, window_hashes
+from .shingles import WordHashes, hash_words, mix, multipliers, split_words, window_hashes
 
 SPAN, SEED = 13, 8
 EDGE_FACTORS, SEED_FACTORS = multipliers(SPAN, 13), multipliers(SEED, 8)
 MEMO = WordHashes()
+#: Marks of an edge: in several documents; links to the edges before and after it branch.
+SEVERAL, INTO, OUT = 1, 2, 4
 
 
-def edges_of(text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """The words, the hash of each edge, and each edge's seed."""
-    words = split_words(text)
-    if len(words) < SPAN:
-        return words, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+def edges_of(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word, and of each edge, of whose hash only the upper bits count."""
     h = hash_words(words, MEMO)
-    edges, runs = window_hashes(h, EDGE_FACTORS), window_hashes(h, SEED_FACTORS)
-    seeds = runs[: len(edges)].copy()
+    edges = window_hashes(h, EDGE_FACTORS)
+    return h, edges if bits == 64 else edges >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+
+def seeds_of(h: np.ndarray) -> np.ndarray:
+    """Each edge's seed, spread over all numbers again (least hashes crowd at the lower end)."""
+    runs = window_hashes(h, SEED_FACTORS)
+    n = max(0, len(h) - SPAN + 1)
+    seeds = runs[:n].copy()
     for i in range(1, SPAN - SEED + 1):
-        np.minimum(seeds, runs[i : i + len(edges)], out=seeds)
-    return words, edges, seeds
+        np.minimum(seeds, runs[i : i + n], out=seeds)
+    return mix(seeds)
 
 
 def named(docs: pa.Table) -> list[tuple[int, str]]:
     return [(d, t) for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True) if d is not None]
 
 
-def several(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes ascending, the smallest document of each, and whether it has another one."""
-    order = np.lexsort((docs, hashes))
-    hashes, docs = hashes[order], docs[order]
-    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(hashes)) - 1
-    return hashes[starts], docs[starts], docs[ends] != docs[starts] if len(starts) else np.zeros(0, bool)
+def starts_of(values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
 def within(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -71,137 +80,256 @@ def within(values: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return (among[at] == values if len(among) else np.zeros(len(values), bool)), at
 
 
-ASKED = "bucket int, shard int, hashes binary, docs binary, several binary"
+class Known:
+    """A sorted array of hashes with a table of bits in front, since most hashes that are looked up aren't in it."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.mask = np.uint64((1 << max(12, len(hashes).bit_length() + 3)) - 1)
+        self.bits = np.zeros(int(self.mask) + 1, bool)
+        self.bits[self.key(hashes)] = True
+
+    def key(self, values: np.ndarray) -> np.ndarray:
+        return (values >> np.uint64(20)) & self.mask
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which values are known (their places in ``values``), and where."""
+        may = np.flatnonzero(self.bits[self.key(values)])
+        found, at = within(values[may], self.hashes)
+        return may[found], at[found]
+
+
+ASKED = "bucket int, shard int, hashes binary, docs binary, marks binary, words binary"
 TOLD = "shard int, hashes binary, docs binary"
 
 
-def ask(shard: int, hashes: np.ndarray, docs: np.ndarray | None, many: np.ndarray, buckets: int) -> pa.Table:
-    rows = [
-        (b, shard, hashes[i:j].tobytes(), b"" if docs is None else docs[i:j].tobytes(), many[i:j].tobytes()) for b, i, j in cuts(hashes, buckets)
-    ]
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [()] * 5
-    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "shard", "hashes", "docs", "several"])
+def ask(shard: int, buckets: int, hashes: np.ndarray, marks: np.ndarray, docs: np.ndarray | None = None, words: np.ndarray | None = None) -> pa.Table:
+    some = lambda x, i, j: b"" if x is None else x[i:j].tobytes()
+    rows = [(b, shard, *(some(x, i, j) for x in (hashes, docs, marks, words))) for b, i, j in cuts(hashes, buckets)]
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    columns = zip(*rows, strict=True) if rows else [()] * 6
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in ASKED.split(", ")])
 
 
 def tell(shards: np.ndarray, hashes: np.ndarray, docs: np.ndarray | None) -> pa.Table:
     """One answer for each shard; rows come in order of shards."""
-    starts = np.flatnonzero(np.concatenate([[True], shards[1:] != shards[:-1]])) if len(shards) else np.zeros(0, np.int64)
+    starts = starts_of(shards)
     ends = np.append(starts[1:], len(shards)).tolist() if len(starts) else []
     rows = [(int(shards[i]), hashes[i:j].tobytes(), b"" if docs is None else docs[i:j].tobytes()) for i, j in zip(starts.tolist(), ends, strict=True)]
     columns = zip(*rows, strict=True) if rows else [()] * 3
     return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["shard", "hashes", "docs"])
 
 
+def in_groups(hashes: np.ndarray, docs: np.ndarray, marks: np.ndarray, words: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    """Distinct hashes ascending, each with its smallest document, its marks, and the words before and after it.
+
+    Marks add up; documents that differ mark SEVERAL, words before or after that differ INTO or OUT.
+    """
+    order = np.lexsort((docs, hashes))
+    hashes, docs, marks = hashes[order], docs[order], marks[order]
+    starts = starts_of(hashes)
+    if not len(starts):
+        return hashes, docs, marks, words
+    marks = np.bitwise_or.reduceat(marks, starts)
+    marks[docs[np.append(starts[1:], len(docs)) - 1] != docs[starts]] |= SEVERAL
+    if words is not None:
+        words = words[order]
+        size = np.diff(np.append(starts, len(hashes)))
+        for side, mark in ((0, INTO), (1, OUT)):
+            differs = words[:, side] != np.repeat(words[starts, side], size)
+            marks[np.bitwise_or.reduceat(differs, starts)] |= mark
+        words = words[starts]
+    return hashes[starts], docs[starts], marks, words
+
+
 def repeated_seeds(rows: DataFrame, buckets: int) -> DataFrame:
-    def seeds_of(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+    def look(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for d, t in named(docs):
-            seeds = np.unique(edges_of(t)[2])
+            seeds = seeds_of(hash_words(split_words(t), MEMO))
+            seeds = np.unique(seeds[starts_of(seeds)])
             found.append(seeds)
             owners.append(np.full(len(seeds), d, np.int64))
-        hashes, _, many = several(np.concatenate(found), np.concatenate(owners))
-        return ask(key[0].as_py(), hashes, None, many, buckets)
+        hashes, owners = np.concatenate(found), np.concatenate(owners)
+        hashes, _, marks, _ = in_groups(hashes, owners, np.zeros(len(hashes), np.uint8), None)
+        return ask(key[0].as_py(), buckets, hashes, marks)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
         hashes, lengths = joined(asked.column("hashes"), "<u8")
-        many, _ = joined(asked.column("several"), "?")
+        marks, _ = joined(asked.column("marks"), "u1")
         shards = np.repeat(asked.column("shard").to_numpy(), lengths)
         order = np.argsort(hashes, kind="stable")
         same = np.concatenate([[False], hashes[order][1:] == hashes[order][:-1]]) if len(order) else np.zeros(0, bool)
         repeated = np.empty(len(hashes), bool)
         repeated[order] = same | np.append(same[1:], False) if len(order) else same
-        repeated |= many
+        repeated |= marks > 0
         return tell(shards[repeated], hashes[repeated], None)
 
-    asked = rows.groupBy("shard").applyInArrow(seeds_of, ASKED)
+    asked = rows.groupBy("shard").applyInArrow(look, ASKED)
     return materialise(asked.groupBy("bucket").applyInArrow(answer, TOLD), "seeds")
 
 
-def smaller_sources(rows: DataFrame, seeds: DataFrame, buckets: int) -> DataFrame:
-    def candidates(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
-        repeated = np.sort(joined(told.column("hashes"), "<u8")[0])
-        found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for d, t in named(docs) if len(repeated) else []:
-            _, edges, seeds = edges_of(t)
-            own = np.unique(edges[within(seeds, repeated)[0]])
-            found.append(own)
-            owners.append(np.full(len(own), d, np.int64))
-        hashes, first, many = several(np.concatenate(found), np.concatenate(owners))
-        return ask(key[0].as_py() if docs.num_rows else 0, hashes, first, many, buckets)
+def repeated_edges(rows: DataFrame, seeds: DataFrame, buckets: int, bits: int) -> DataFrame:
+    """shard, hashes, docs (the marks): each shard's repeated edges and which of their links branch."""
+
+    def look(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
+        repeated = Known(np.sort(joined(told.column("hashes"), "<u8")[0]))
+        found, owners, beside = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
+        for d, t in named(docs) if len(repeated.hashes) else []:
+            h, edges = edges_of(split_words(t), bits)
+            at, _ = repeated.find(seeds_of(h))
+            if len(at):
+                around = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
+                found.append(edges[at])
+                owners.append(np.full(len(at), d, np.int64))
+                beside.append(np.stack([around[at], around[at + SPAN + 1]], 1))
+        hashes = np.concatenate(found)
+        hashes, first, marks, words = in_groups(hashes, np.concatenate(owners), np.zeros(len(hashes), np.uint8), np.concatenate(beside))
+        return ask(key[0].as_py() if docs.num_rows else 0, buckets, hashes, marks, first, words)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
         hashes, lengths = joined(asked.column("hashes"), "<u8")
-        docs, _ = joined(asked.column("docs"), "<i8")
-        many, _ = joined(asked.column("several"), "?")
+        docs, marks, words = (joined(asked.column(c), k)[0] for c, k in (("docs", "<i8"), ("marks", "u1"), ("words", "<u8")))
         shards = np.repeat(asked.column("shard").to_numpy(), lengths)
-        known, first, _ = several(hashes, docs)
-        source = first[np.searchsorted(known, hashes)]
-        wanted = (source < docs) | many
-        return tell(shards[wanted], hashes[wanted], source[wanted])
+        known, _, marks, _ = in_groups(hashes, docs, marks, words.reshape(-1, 2))
+        mark = marks[np.searchsorted(known, hashes)]
+        wanted = (mark & SEVERAL) > 0
+        return tell(shards[wanted], hashes[wanted], mark[wanted])
+
+    asked = rows.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInArrow(look, ASKED)
+    return materialise(asked.groupBy("bucket").applyInArrow(answer, TOLD), "edges")
 
-    asked = rows.groupBy("shard").cogroup(seeds.groupBy("shard")).applyInArrow(candidates, ASKED)
-    return materialise(asked.groupBy("bucket").applyInArrow(answer, TOLD), "sources")
 
+class Graph:
+    """A shard's repeated edges; compacts the paths of its documents."""
 
-def spans_of(starts: np.ndarray, sources: np.ndarray) -> list[tuple[int, int, int]]:
-    """Compacted paths (start, words, source) of a document's marked edges: consecutive ones with one source."""
+    def __init__(self, hashes: pa.ChunkedArray, marks: pa.ChunkedArray, bits: int):
+        self.bits = bits
+        hashes, marks = joined(hashes, "<u8")[0], joined(marks, "u1")[0]
+        order = np.argsort(hashes)
+        self.known, self.marks = Known(hashes[order]), marks[order]
+
+    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First edge, edges, and digest (two numbers) of each path of a text."""
+        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        if len(words) < SPAN or not len(self.marks):
+            return none
+        at, where = self.known.find(edges_of(words, self.bits)[1])
+        if not len(at):
+            return none
+        marks = self.marks[where]
+        goes_on = (np.diff(at) == 1) & (marks[:-1] & OUT == 0) & (marks[1:] & INTO == 0)
+        first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+        starts, sizes = at[first], np.diff(np.append(first, len(at)))
+        line, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        begin = np.where(starts > 0, ends[starts - 1], 0)
+        stop = ends[starts + sizes + SPAN - 2]
+        digest = xxhash.xxh3_128_digest
+        digests = b"".join([digest(line[a:b]) for a, b in zip(begin.tolist(), (stop - 1).tolist(), strict=True)])
+        return starts, sizes, np.frombuffer(digests, "<i8").reshape(-1, 2)
+
+
+PATHS = "shard int, a long, b long, doc long, start long, several boolean"
+
+
+def path_sources(rows: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
+    """shard, a, b (the digest), source, source_start of the paths that a shard has in a document larger than the source."""
+    names = [f.split()[0] for f in PATHS.split(", ")]
+
+    def look(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
+        graph = Graph(told.column("hashes"), told.column("docs"), bits)
+        found = [(np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for d, t in named(docs) if told.num_rows else []:
+            starts, _, digests = graph.paths(split_words(t))
+            found.append((digests, np.full(len(starts), d, np.int64), starts))
+        digests, owners, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((starts, owners, digests[:, 1], digests[:, 0]))
+        digests, owners, starts = digests[order], owners[order], starts[order]
+        new = np.flatnonzero(np.concatenate([[True], (digests[1:] != digests[:-1]).any(1)])) if len(order) else np.zeros(0, np.int64)
+        last = np.append(new[1:], len(order)) - 1 if len(new) else new
+        several = owners[last] != owners[new]
+        shard = np.full(len(new), key[0].as_py() if len(new) else 0, np.int32)
+        return pa.table([pa.array(c) for c in (shard, digests[new, 0], digests[new, 1], owners[new], starts[new], several)], names)
+
+    paths = materialise(rows.groupBy("shard").cogroup(edges.groupBy("shard")).applyInArrow(look, PATHS), "paths")
+    # One row for each shard that has a path, so a passage of many documents is no large group; its source is one row.
+    sources = paths.groupBy("a", "b").agg(F.min(F.struct("doc", "start")).alias("source"), F.count(F.lit(1)).alias("n"), F.max("several").alias("s"))
+    sources = sources.where("n > 1 OR s").select("a", "b", "source")
+    found = paths.join(sources, ["a", "b"]).where("source.doc < doc OR several")
+    found = found.select("shard", "a", "b", F.col("source.doc").alias("source"), F.col("source.start").alias("source_start"))
+    return materialise(found, "sources")
+
+
+def spans_of(starts: np.ndarray, sizes: np.ndarray, sources: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(start, words, source, place in the source) of spans; paths that lie end to end here and there are one."""
     if not len(starts):
         return []
-    new = np.flatnonzero(np.concatenate([[True], (np.diff(starts) != 1) | (np.diff(sources) != 0)]))
+    next_start, next_place = starts + sizes, places + sizes
+    apart = (starts[1:] != next_start[:-1]) | (sources[1:] != sources[:-1]) | (places[1:] != next_place[:-1])
+    new = np.flatnonzero(np.concatenate([[True], apart]))
     last = np.append(new[1:], len(starts)) - 1
-    return [(int(starts[i]), int(starts[j] - starts[i]) + SPAN, int(sources[i])) for i, j in zip(new, last, strict=True)]
+    return [(int(starts[i]), int(next_start[j] - starts[i]) + SPAN - 1, int(sources[i]), int(places[i])) for i, j in zip(new, last, strict=True)]
+
+
+SPANS = "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,n_words:long,source:long,source_start:long>>"
 
 
-def marked(docs: DataFrame, digest: bool) -> DataFrame:
-    """doc_id, text (or digest columns), spans of each row of ``docs``."""
+def marked(docs: DataFrame, digest: bool, bits: int = 64) -> DataFrame:
+    """doc_id, text (or digest columns), spans of each row of ``docs``; with few ``bits`` of an edge's hash, edges collide."""
     size = text_bytes(docs, "text")
     rows = dealt(docs, shard_count(size))
     spark = docs.sparkSession
     seeds = repeated_seeds(rows, bucket_count(size, 16))
     release(spark)
-    sources = smaller_sources(rows, seeds, bucket_count(size, 12))
+    edges = repeated_edges(rows, seeds, bucket_count(size, 12), bits)
     discard(seeds)
     release(spark)
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" if digest else (
-        "doc_id long, n_words long, n_removed long, kept string, spans array<struct<start:long,n_words:long,source:long>>"
-    )
+    sources = path_sources(rows, edges, bits)
+    release(spark)
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long" if digest else SPANS
     names = [f.split()[0] for f in schema.split(", ")]
-    last = pa.int64() if digest else pa.list_(pa.struct([("start", pa.int64()), ("n_words", pa.int64()), ("source", pa.int64())]))
+    fields = ("start", "n_words", "source", "source_start")
+    last = pa.int64() if digest else pa.list_(pa.struct([(f, pa.int64()) for f in fields]))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), last]
 
     def cut(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
-        hashes, _ = joined(told.column("hashes"), "<u8")
-        source, _ = joined(told.column("docs"), "<i8")
-        order = np.argsort(hashes)
-        hashes, source = hashes[order], source[order]
+        known = pc.is_valid(told.column("a"))
+        edges = told.filter(pc.invert(known))
+        graph = Graph(edges.column("hashes"), edges.column("docs"), bits)
+        told = told.filter(known).sort_by([("a", "ascending"), ("b", "ascending")])
+        a, b, source, place = (told.column(c).to_numpy() for c in ("a", "b", "source", "source_start"))
         out = []
         for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            words, edges, _ = edges_of(t)
-            spans = []
-            if d is not None and len(edges) and len(hashes):
-                known, at = within(edges, hashes)
-                starts = np.flatnonzero(known & (source[at] < d))
-                spans = spans_of(starts, source[at[starts]])
+            words, spans = split_words(t), []
+            if d is not None and len(a):
+                starts, sizes, digests = graph.paths(words)
+                at = np.searchsorted(a, digests[:, 0])
+                # digests that share their first half follow one another
+                while len(at) and (on := (at < len(a)) & (a[at.clip(max=len(a) - 1)] == digests[:, 0]) & (b[at.clip(max=len(a) - 1)] < digests[:, 1])).any():
+                    at += on
+                at = at.clip(max=len(a) - 1)
+                hit = (a[at] == digests[:, 0]) & (b[at] == digests[:, 1]) & (source[at] < d)
+                spans = spans_of(starts[hit], sizes[hit], source[at[hit]], place[at[hit]])
             n = len(words)
             if spans:
                 keep = np.ones(n, bool)
-                for start, length, _ in spans:
+                for start, length, *_ in spans:
                     keep[start : start + length] = False
                 words = [words[i] for i in np.flatnonzero(keep).tolist()]
             kept = b" ".join(words)
             if digest:
                 out.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest(), len(spans)))
             else:
-                out.append((d, n, n - len(words), kept.decode("utf-8", "surrogatepass"), [dict(zip(("start", "n_words", "source"), s, strict=True)) for s in spans]))
+                out.append((d, n, n - len(words), kept.decode("utf-8", "surrogatepass"), [dict(zip(fields, s, strict=True)) for s in spans]))
         columns = zip(*out, strict=True) if out else [()] * 5
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return rows.groupBy("shard").cogroup(sources.groupBy("shard")).applyInArrow(cut, schema)
+    told = edges.unionByName(sources, allowMissingColumns=True)
+    return rows.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(cut, schema)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n_words, source of each compacted span that a smaller document has too."""
+    """doc_id, start, n_words, source, source_start of each span whose words a smaller document has at its source_start."""
     return marked(docs, digest=False).select("doc_id", F.inline("spans"))
 
 

@@ -117,6 +117,35 @@ def test_substring_dedup(spark, edge_docs):
     assert (10, 0, 60, 9) in spans and (2, 0, 300, 1) in spans
 
 
+@pytest.mark.parametrize("bits", [64, 6])
+def test_paths_of_documents_with_common_passages(spark, bits):
+    """Passages at any place, copies with edits, loops; with 6 bits nearly all edges collide, and words must tell them apart."""
+    ship(spark)
+    rnd = random.Random(bits)
+    base = [[f"p{k}w{rnd.randrange(6 if k == 3 else 10**6)}" for _ in range(40)] for k in range(4)]
+    docs = [(None, " ".join(base[0])), (60, None), (61, "short text")]
+    for i in range(60):
+        text = [f"own{i}x{j}" for j in range(rnd.randrange(20))]
+        for _ in range(rnd.randrange(4)):
+            part = list(rnd.choice(base))[rnd.randrange(20) :]
+            if rnd.random() < 0.3:
+                part[rnd.randrange(len(part))] = "edit"
+            text += part
+        docs.append((i // 2 if i > 50 else i, "  ".join(text)))
+    found = substring_dedup.marked(spark.createDataFrame(docs, "doc_id long, text string"), False, bits).collect()
+    assert bag((r["doc_id"], r["n_words"], r["n_removed"], sha(r["kept"])) for r in found) == bag(brute_substrings(docs))
+    texts = collections.defaultdict(list)
+    for d, t in docs:
+        texts[d].append(WORDS(t or ""))
+    own = {(r["doc_id"], r["n_words"], r["n_removed"]): r["spans"] for r in found}
+    assert sum(len(s) for s in own.values()) > 20
+    for (d, n, _), spans in own.items():
+        for s in spans:
+            here = [w[s["start"] : s["start"] + s["n_words"]] for w in texts[d] if len(w) == n]
+            there = [w[s["source_start"] : s["source_start"] + s["n_words"]] for w in texts[s["source"]]]
+            assert s["source"] < d and s["n_words"] >= 13 and any(h == t for h in here for t in there)
+
+
 def brute_lines(docs):
     held = collections.defaultdict(list)
     for n, (d, t) in enumerate(docs):
