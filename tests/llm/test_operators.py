@@ -320,23 +320,34 @@ def test_nearest_neighbours(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3, 4]
 
 
-def test_block_max_index_is_exact():
+@pytest.mark.parametrize("block, common", [(64, 0.03), (4, 0.03), (4, 0.15), (4, 2)])
+def test_block_max_index_is_exact(monkeypatch, block, common):
+    monkeypatch.setattr(toxicity, "BLOCK", block)
+    monkeypatch.setattr(toxicity, "COMMON", common)
     rnd = np.random.default_rng(6)
     packed = []
     for _ in range(400):
         terms = np.sort(rnd.choice(30, rnd.integers(0, 6), replace=False))
         packed.append(np.stack([terms, rnd.integers(1, 4, len(terms))], 1).astype("<u4").tobytes())
     index = toxicity.Index(packed, rnd.integers(0, 2, 400).tolist(), list(range(400)), rnd.integers(1, 300, 30), 1000)
-    dense = np.zeros((400, 30))
-    for i, p in enumerate(index.packed):
-        terms, w = index.vector(p)
-        dense[i, terms] = w
-    for i in range(0, 400, 13):
-        if index.packed[i]:
+    for index in (index, pickle.loads(pickle.dumps(index))):
+        dense = np.zeros((400, 30))
+        for i in range(400):
+            terms, w = index.vector(index.packed(i))
+            dense[i, terms] = w
+        asked = [i for i in range(0, 400, 3) if index.packed(i)]
+        for i, near in zip(asked, index.nearest([index.packed(i) for i in asked], but=asked), strict=True):
             cosine = np.round(dense @ dense[i], 12)
             cosine[i] = -1
-            order = [j for j in np.lexsort((np.arange(400), -cosine))[: toxicity.NEIGHBOURS] if cosine[j] > 0]
-            assert [r for _, r in index.nearest(index.packed[i], but=i)] == order
+            order = [j for j in np.lexsort((index.ids, -cosine))[: toxicity.NEIGHBOURS] if cosine[j] > 0]
+            assert [r for _, r in near] == order
+
+
+def test_tokens_are_runs_of_word_characters():
+    rnd = random.Random(4)
+    texts = ["", None, "Ünïcode—dash “quotes” x_y 1a2 日本語。次 ٣٤ a\u0301b", "A\x85b\xa0c\x1cd"] + ["".join(chr(rnd.randrange(1, 0x3000)) for _ in range(300)) for _ in range(50)]
+    for t in texts:
+        assert [w.decode() for w in toxicity.tokens(t)] == re.findall(r"\w+", (t or "").lower())
 
 
 def test_toxicity_on_held_out_rows(spark):
