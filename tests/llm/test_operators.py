@@ -252,6 +252,32 @@ def test_certified_cutoffs_reject_bad_and_keep_good(spark):
     assert kept == {d for d, _, _ in good}
 
 
+def test_the_bound_holds_for_the_verdict_in_every_stratum(spark):
+    """Each signal alone turns away 0.2 % of the good rows, which all together can't certify; label rows are repeated."""
+    ship(spark)
+    words = lambda i: [f"w{i}x{j}" for j in range(60)]
+    odd = [lambda w: [*w[:-8], *["###"] * 8], lambda w: [*w, *w[:12]], lambda w: [x + "y" * 20 for x in w]]
+    docs, known = [], []
+    for lang in ("en", "de", None):
+        for i in range(2500):
+            w, kind = words(i), i // 5
+            good = not (kind < 3 or 2400 <= i)
+            w = odd[kind](w) if kind < 3 else odd[0](odd[1](w)) if 2400 <= i else w
+            docs.append((len(docs), " ".join(w), lang))
+            known += [(docs[-1][0], int(good or kind < 3), 0)] * (1 + i % 2)
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(known, "doc_id long, quality int, toxic int")
+    signals = quality_rules.documents_signals(df).cache()
+    settings = quality_rules.certified_settings(signals, labels).collect()
+    assert len(settings) == 3
+    quality, kept = {d: q for d, q, _ in known}, {r["doc_id"]: r["kept"] for r in quality_rules.judge(df, labels).collect()}
+    failed = {r["doc_id"] for r in signals.where(quality_rules.base_failed()).collect()}
+    for lang in ("en", "de", None):
+        good = [d for d, _, x in docs if x == lang and quality[d] and d not in failed]
+        bad = [d for d, _, x in docs if x == lang and not quality[d]]
+        assert sum(not kept[d] for d in good) == 10 and not any(kept[d] for d in bad)
+
+
 def test_mixing(spark, edge_docs):
     rows = mixing.assign_positions(edge_docs).collect()
     sizes = {(r["doc_id"], r["size"]) for r in rows}
