@@ -2,15 +2,15 @@
 
 Each document's long lines become (hash of the key, document, line numbers).  These rows are range-partitioned by hash
 and document together, so a line that a third of all documents hold spreads over many partitions, and sorted within
-each; streaming through a partition, the first row of a hash is the one that stays.  Hashes that go on into another
-partition (two at most) leave a fragment's count and first document; the fragments, a few rows per partition, settle
-their rows.  The result is one compressed keep bitmap for each document that loses a line, instead of text.
+each; streaming through a partition, the first document of a hash is the one that stays.  Hashes that go on into another
+partition (two at most) leave a fragment's count, first and last document; the fragments, two rows per partition at most,
+settle their rows.  The result is one compressed keep bitmap for each document that loses a line, instead of text.
 
 Keys are compared by 128-bit hashes.
 
-Edge cases: null or empty text is one empty line, which is too short to go; each row is a document of its own, repeated
-rows and ids included (rows that share the largest ``doc_id`` all keep the line); a null ``doc_id`` counts as smaller
-than any; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are not read.
+Edge cases: null or empty text is one empty line, which is too short to go; rows that share a ``doc_id`` count as one document
+(and if it is the largest, all keep the line); rows with a null ``doc_id`` count as one document smaller than any; an empty
+table gives an empty result; columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -67,27 +68,27 @@ def long_lines(docs: DataFrame, shortest: int = SHORTEST) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "hash binary, doc long, row long, lines binary")
 
 
-SETTLED = "hash binary, doc long, row long, lines binary, n long, first long, open boolean"
+SETTLED = "hash binary, doc long, row long, lines binary, n long, first long, last long, part int, open boolean"
 
 
 def stream_groups(batches: Iterator[pa.RecordBatch], spread: int) -> Iterator[pa.RecordBatch]:
     """Rows sorted by hash and, within it, from the largest document down -> rows to drop, and open rows.
 
     Rows of a hash wholly inside the partition are dropped at once (open false).  The first and the last hash may go on
-    elsewhere: their rows are given as open, with one more row (no lines) that tells the fragment's count and first
-    document.  Of a hash only the first ``spread - 1`` documents wait; the rest stream by.
+    elsewhere: their rows are given as open, with one more row (no lines) that tells the fragment's documents, its first and
+    its last.  Of a hash only the rows of the first ``spread - 1`` documents wait; the rest stream by.
     """
     out: list[tuple] = []
-    now, first, n, waiting, opened = None, 0, 0, [], True
+    now, first, last, n, waiting, opened, part = None, 0, None, 0, [], True, TaskContext.get().partitionId()
 
     def end(is_open: bool) -> None:
         if now is not None and is_open:
-            out.extend((now, d, r, x, None, None, True) for d, r, x in waiting)
-            out.append((now, None, None, None, n, first, True))
+            out.extend((now, d, r, x, None, None, None, part, True) for d, r, x in waiting)
+            out.append((now, None, None, None, n, first, last, part, True))
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
-        columns = zip(*rows, strict=True) if rows else [()] * 7
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        columns = zip(*rows, strict=True) if rows else [()] * 9
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [f.split()[0] for f in SETTLED.split(", ")])
 
     # The last hash is known as such only at the end, so a hash's rows are held back until the next begins or enough
@@ -98,15 +99,15 @@ def stream_groups(batches: Iterator[pa.RecordBatch], spread: int) -> Iterator[pa
             if h != now:
                 end(opened)
                 opened = now is None  # the partition's first hash
-                now, first, n, waiting = h, d, 0, []
-            n += 1
+                now, first, last, n, waiting = h, d, None, 0, []
+            n += d != last
+            last = d
             if opened:
-                out.append((h, d, r, x, None, None, True))
-                waiting = []
+                out.append((h, d, r, x, None, None, None, part, True))
             elif n < spread:
                 waiting.append((d, r, x))
             else:
-                out.extend((h, *w, None, None, False) for w in [*waiting, (d, r, x)] if w[0] != first)
+                out.extend((h, *w, None, None, None, part, False) for w in [*waiting, (d, r, x)] if w[0] != first)
                 waiting = []
         if len(out) >= 20_000:
             yield batch_of(out)
@@ -122,8 +123,11 @@ def dropped_lines(docs: DataFrame, shortest: int = SHORTEST, spread: int = SPREA
     order = [F.col("hash"), F.col("doc").desc(), F.col("row")]
     dealt = lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
     found = materialise(dealt.mapInArrow(lambda batches: stream_groups(batches, spread), SETTLED), "line-groups")
-    # Fragments: two for each partition at most.
-    parts = found.where("open AND n IS NOT NULL").groupBy("hash").agg(F.sum("n").alias("docs"), F.max("first").alias("stays"))
+    # Fragments: two for each partition at most.  A document that ends one and begins the next is one document.
+    parts = found.where("open AND n IS NOT NULL")
+    before = F.lag("last").over(Window.partitionBy("hash").orderBy("part"))
+    parts = parts.withColumn("n", F.col("n") - F.coalesce((before == F.col("first")).cast("int"), F.lit(0)))
+    parts = parts.groupBy("hash").agg(F.sum("n").alias("docs"), F.max("first").alias("stays"))
     spread_out = parts.where(F.col("docs") >= spread).withColumnRenamed("hash", "of")
     waiting = found.where("open AND n IS NULL").join(F.broadcast(spread_out), F.col("hash") == F.col("of"))
     late = waiting.where("doc <> stays").select("doc", "row", "lines")
@@ -137,18 +141,40 @@ def keep_bitmaps(docs: DataFrame, shortest: int = SHORTEST, spread: int = SPREAD
     end stay.  A document's lines lie in one row of its own text, so a group here is never larger than a document.
     """
 
-    def pack(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in rows.column("lines").to_pylist()]))
+    def bitmap(lines: list[bytes]) -> tuple[int, bytes]:
+        at = np.unique(np.concatenate([np.frombuffer(x, "<u4") for x in lines]))
         keep = np.ones(int(at[-1]) + 1, bool)
         keep[at] = False
-        bitmap = zlib.compress(np.packbits(keep).tobytes(), 6)
-        return pa.table({"doc": [key[0].as_py()], "row": [key[1].as_py()], "n_bits": [len(keep)], "bitmap": [bitmap]})
+        return len(keep), zlib.compress(np.packbits(keep).tobytes(), 6)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, lines, out = None, [], []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * 4
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc", "row", "n_bits", "bitmap"])
+
+        for batch in batches:
+            for doc, row, x in zip(*(batch.column(c).to_pylist() for c in ("doc", "row", "lines")), strict=True):
+                if (doc, row) != now:
+                    if now is not None:
+                        out.append((*now, *bitmap(lines)))
+                    now, lines = (doc, row), []
+                lines.append(x)
+            if len(out) >= 5000:
+                yield batch_of()
+                out.clear()
+        if now is not None:
+            out.append((*now, *bitmap(lines)))
+        yield batch_of()
 
     dropped = dropped_lines(docs, shortest, spread)
-    return dropped.groupBy("doc", "row").applyInArrow(pack, "doc long, row long, n_bits long, bitmap binary")
+    dealt = dropped.repartition("doc", "row").sortWithinPartitions("doc", "row")
+    return dealt.mapInArrow(pack, "doc long, row long, n_bits long, bitmap binary")
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) -> DataFrame:
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False, shortest: int = SHORTEST) -> DataFrame:
     """The documents' other columns with the kept text; or, as a digest, doc_id, n_lines, n_dropped and kept_sha256."""
     columns = ["doc_id"] if digest else docs.columns
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" if digest else docs.schema
@@ -176,7 +202,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) ->
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [None if not t or len(t) < SHORTEST else row_key(t) for t in batch.column("_text").to_pylist()]
+            rows = [None if not t or len(t) < shortest else row_key(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.int64())], [*batch.schema.names, "_row"])
 
     # The text travels once, under its own name.
@@ -188,9 +214,9 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, digest: bool = False) ->
     return left.join(right, same, "left").select(*names, "_text", "_bits", "_bitmap").mapInArrow(run, schema)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = SHORTEST, spread: int = SPREAD) -> DataFrame:
     """The documents without their repeated lines; all rows and columns stay."""
-    return apply_bitmaps(docs, keep_bitmaps(docs))
+    return apply_bitmaps(docs, keep_bitmaps(docs, shortest, spread), shortest=shortest)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,15 +147,15 @@ def test_paths_of_documents_with_common_passages(spark, bits):
 
 
 def brute_lines(docs):
-    held = collections.defaultdict(list)
-    for n, (d, t) in enumerate(docs):
+    held = collections.defaultdict(set)
+    for d, t in docs:
         for key in {x.strip(SPACES).translate(LOWER) for x in (t or "").split("\n")}:
             if len(key) >= 20:
-                held[key].append((-1 if d is None else d, n))
+                held[key].add(-1 if d is None else d)
     out = []
     for d, t in docs:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if len(h := held[x.strip(SPACES).translate(LOWER)]) < 3 or max(h)[0] == (-1 if d is None else d)]
+        kept = [x for x in lines if len(h := held[x.strip(SPACES).translate(LOWER)]) < 3 or max(h) == (-1 if d is None else d)]
         out.append((d, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
     return out
 
@@ -173,6 +173,9 @@ def test_line_groups_across_partitions(spark):
     """One line in all documents, over many partitions of sorted rows."""
     ship(spark)
     docs = [(i, f"a line that is in all of them\nonly {i} here, and nowhere else") for i in range(400)]
+    # lines of many rows but few documents, which also lie over partitions
+    docs += [(500 + i % 2, f"a line of only two documents\nrow {i}") for i in range(400)] + [(600 + i % 3, f"a line of three documents, no more\nrow {i}") for i in range(300)]
+    docs += [(700, "a line that has rows of one document")] * 5 + [(None, f"a line of three documents, no more\nrow {i} of none") for i in range(2)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
     spark.conf.set("spark.sql.shuffle.partitions", "9")
     try:
