@@ -47,25 +47,63 @@ MEMO = WordHashes()
 SEVERAL, INTO, OUT = 1, 2, 4
 
 
-def edges_of(words: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word, and of each edge, of whose hash only the upper bits count."""
-    h = hash_words(words, MEMO)
-    edges = window_hashes(h, EDGE_FACTORS)
-    return h, edges if bits == 64 else edges >> np.uint64(64 - bits) << np.uint64(64 - bits)
-
-
-def seeds_of(h: np.ndarray) -> np.ndarray:
-    """Each edge's seed, spread over all numbers again (least hashes crowd at the lower end)."""
-    runs = window_hashes(h, SEED_FACTORS)
-    n = max(0, len(h) - SPAN + 1)
-    seeds = runs[:n].copy()
-    for i in range(1, SPAN - SEED + 1):
-        np.minimum(seeds, runs[i : i + n], out=seeds)
-    return mix(seeds)
-
-
-def named(docs: pa.Table) -> list[tuple[int, str]]:
-    return [(d, t) for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True) if d is not None]
+#: Stands for a null doc_id: no document is smaller.
+NO_ID = -(1 << 63)
+
+
+class Texts:
+    """The texts of a shard end to end: hashes of all words, and where each document begins and ends."""
+
+    def __init__(self, docs: pa.Table, keep: bool = False):
+        hashes, sizes, lines, lengths = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
+        for text in docs.column("text").to_pylist():
+            words = split_words(text)
+            hashes.append(hash_words(words, MEMO))
+            sizes.append(len(words))
+            if keep:
+                lines.append(b" ".join(words))
+                lengths.append(np.fromiter(map(len, words), np.int64, len(words)))
+        self.hashes, self.sizes = np.concatenate(hashes), np.array(sizes, np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.starts = self.ends - self.sizes
+        self.ids = pc.fill_null(docs.column("doc_id").cast(pa.int64()), NO_ID).to_numpy()
+        n = np.maximum(0, self.sizes - SPAN + 1) * (self.ids != NO_ID)
+        self.owner = np.repeat(np.arange(len(n)), n)  # of each edge, its document
+        self.edges = np.arange(n.sum()) + (self.starts - (np.cumsum(n) - n))[self.owner]  # and its first word
+        if keep:
+            # words and single spaces between them; a space after each document, but none after its last word
+            self.text, lengths = b" ".join(x for x, n in zip(lines, sizes, strict=True) if n), np.concatenate(lengths)
+            self.stop = np.cumsum(lengths + 1) - 1
+            self.start = self.stop - lengths
+
+    def windows(self, factors: np.ndarray) -> np.ndarray:
+        """Hash of each run of words, those over the end of a document included."""
+        return window_hashes(self.hashes, factors)
+
+    def edge_hashes(self, bits: int) -> np.ndarray:
+        """Hash of each edge, of which only the upper bits count."""
+        if not len(self.edges):
+            return np.zeros(0, np.uint64)
+        found = self.windows(EDGE_FACTORS)[self.edges]
+        return found if bits == 64 else found >> np.uint64(64 - bits) << np.uint64(64 - bits)
+
+    def seeds(self) -> np.ndarray:
+        """Each edge's seed, spread over all numbers again (least hashes crowd at the lower end)."""
+        if not len(self.edges):
+            return np.zeros(0, np.uint64)
+        runs = self.windows(SEED_FACTORS)
+        least = runs[: len(runs) - SPAN + SEED].copy()
+        for i in range(1, SPAN - SEED + 1):
+            np.minimum(least, runs[i : i + len(least)], out=least)
+        return mix(least[self.edges])
+
+    def beside(self, edges: np.ndarray) -> np.ndarray:
+        """Hash of the word before and of the word after each of these edges; 0 at the ends of a text."""
+        first, doc = self.edges[edges], self.owner[edges]
+        around = np.concatenate([[np.uint64(0)], self.hashes, [np.uint64(0)]])
+        before = np.where(first > self.starts[doc], around[first], 0)
+        after = np.where(first + SPAN < self.ends[doc], around[first + SPAN + 1], 0)
+        return np.stack([before, after], 1).astype(np.uint64)
 
 
 def starts_of(values: np.ndarray) -> np.ndarray:
@@ -120,18 +158,19 @@ def tell(shards: np.ndarray, hashes: np.ndarray, docs: np.ndarray | None) -> pa.
     return pa.table([pa.array(c, k) for c, k in zip(columns, [pa.int32(), pa.binary(), pa.binary()], strict=True)], ["shard", "hashes", "docs"])
 
 
-def in_groups(hashes: np.ndarray, docs: np.ndarray, marks: np.ndarray, words: np.ndarray | None) -> tuple[np.ndarray, ...]:
+def in_groups(hashes: np.ndarray, docs: np.ndarray, marks: np.ndarray | None, words: np.ndarray | None) -> tuple[np.ndarray, ...]:
     """Distinct hashes ascending, each with its smallest document, its marks, and the words before and after it.
 
     Marks add up; documents that differ mark SEVERAL, words before or after that differ INTO or OUT.
     """
-    order = np.lexsort((docs, hashes))
-    hashes, docs, marks = hashes[order], docs[order], marks[order]
+    order = np.argsort(hashes)
+    hashes, docs = hashes[order], docs[order]
     starts = starts_of(hashes)
     if not len(starts):
-        return hashes, docs, marks, words
-    marks = np.bitwise_or.reduceat(marks, starts)
-    marks[docs[np.append(starts[1:], len(docs)) - 1] != docs[starts]] |= SEVERAL
+        return hashes, docs, np.zeros(0, np.uint8), np.zeros((0, 2), np.uint64)
+    marks = np.zeros(len(starts), np.uint8) if marks is None else np.bitwise_or.reduceat(marks[order], starts)
+    first = np.minimum.reduceat(docs, starts)
+    marks[np.maximum.reduceat(docs, starts) != first] |= SEVERAL
     if words is not None:
         words = words[order]
         size = np.diff(np.append(starts, len(hashes)))
@@ -139,19 +178,15 @@ def in_groups(hashes: np.ndarray, docs: np.ndarray, marks: np.ndarray, words: np
             differs = words[:, side] != np.repeat(words[starts, side], size)
             marks[np.bitwise_or.reduceat(differs, starts)] |= mark
         words = words[starts]
-    return hashes[starts], docs[starts], marks, words
+    return hashes[starts], first, marks, words
 
 
 def repeated_seeds(rows: DataFrame, buckets: int) -> DataFrame:
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
-        found, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for d, t in named(docs):
-            seeds = seeds_of(hash_words(split_words(t), MEMO))
-            seeds = np.unique(seeds[starts_of(seeds)])
-            found.append(seeds)
-            owners.append(np.full(len(seeds), d, np.int64))
-        hashes, owners = np.concatenate(found), np.concatenate(owners)
-        hashes, _, marks, _ = in_groups(hashes, owners, np.zeros(len(hashes), np.uint8), None)
+        texts = Texts(docs)
+        seeds, owners = texts.seeds(), texts.owner
+        new = np.flatnonzero(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (owners[1:] != owners[:-1])])) if len(seeds) else starts_of(seeds)
+        hashes, _, marks, _ = in_groups(seeds[new], texts.ids[owners[new]], None, None)
         return ask(key[0].as_py(), buckets, hashes, marks)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
@@ -174,17 +209,9 @@ def repeated_edges(rows: DataFrame, seeds: DataFrame, buckets: int, bits: int) -
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
         repeated = Known(np.sort(joined(told.column("hashes"), "<u8")[0]))
-        found, owners, beside = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros((0, 2), np.uint64)]
-        for d, t in named(docs) if len(repeated.hashes) else []:
-            h, edges = edges_of(split_words(t), bits)
-            at, _ = repeated.find(seeds_of(h))
-            if len(at):
-                around = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
-                found.append(edges[at])
-                owners.append(np.full(len(at), d, np.int64))
-                beside.append(np.stack([around[at], around[at + SPAN + 1]], 1))
-        hashes = np.concatenate(found)
-        hashes, first, marks, words = in_groups(hashes, np.concatenate(owners), np.zeros(len(hashes), np.uint8), np.concatenate(beside))
+        texts = Texts(docs if told.num_rows else docs.slice(0, 0))
+        at, _ = repeated.find(texts.seeds())
+        hashes, first, marks, words = in_groups(texts.edge_hashes(bits)[at], texts.ids[texts.owner[at]], None, texts.beside(at))
         return ask(key[0].as_py() if docs.num_rows else 0, buckets, hashes, marks, first, words)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
@@ -209,24 +236,22 @@ class Graph:
         order = np.argsort(hashes)
         self.known, self.marks = Known(hashes[order]), marks[order]
 
-    def paths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """First edge, edges, and digest (two numbers) of each path of a text."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-        if len(words) < SPAN or not len(self.marks):
-            return none
-        at, where = self.known.find(edges_of(words, self.bits)[1])
+    def paths(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First word, edges, digest (two numbers) and document of each path of the texts."""
+        none = np.zeros(0, np.int64)
+        if not len(self.marks):
+            return none, none, np.zeros((0, 2), np.int64), none
+        at, where = self.known.find(texts.edge_hashes(self.bits))
         if not len(at):
-            return none
-        marks = self.marks[where]
-        goes_on = (np.diff(at) == 1) & (marks[:-1] & OUT == 0) & (marks[1:] & INTO == 0)
-        first = np.flatnonzero(np.concatenate([[True], ~goes_on]))
-        starts, sizes = at[first], np.diff(np.append(first, len(at)))
-        line, ends = b" ".join(words), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begin = np.where(starts > 0, ends[starts - 1], 0)
-        stop = ends[starts + sizes + SPAN - 2]
-        digest = xxhash.xxh3_128_digest
-        digests = b"".join([digest(line[a:b]) for a, b in zip(begin.tolist(), (stop - 1).tolist(), strict=True)])
-        return starts, sizes, np.frombuffer(digests, "<i8").reshape(-1, 2)
+            return none, none, np.zeros((0, 2), np.int64), none
+        marks, edges, owner = self.marks[where], texts.edges[at], texts.owner[at]
+        goes_on = (np.diff(edges) == 1) & (owner[1:] == owner[:-1]) & (marks[:-1] & OUT == 0) & (marks[1:] & INTO == 0)
+        new = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+        sizes, first = np.diff(np.append(new, len(at))), edges[new]
+        digest, text = xxhash.xxh3_128_digest, texts.text
+        ends = zip(texts.start[first].tolist(), texts.stop[first + sizes + SPAN - 2].tolist(), strict=True)
+        digests = b"".join([digest(text[a:b]) for a, b in ends])
+        return first, sizes, np.frombuffer(digests, "<i8").reshape(-1, 2), owner[new]
 
 
 PATHS = "shard int, a long, b long, doc long, start long, several boolean"
@@ -238,11 +263,9 @@ def path_sources(rows: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
         graph = Graph(told.column("hashes"), told.column("docs"), bits)
-        found = [(np.zeros((0, 2), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for d, t in named(docs) if told.num_rows else []:
-            starts, _, digests = graph.paths(split_words(t))
-            found.append((digests, np.full(len(starts), d, np.int64), starts))
-        digests, owners, starts = (np.concatenate(x) for x in zip(*found, strict=True))
+        texts = Texts(docs if told.num_rows else docs.slice(0, 0), keep=True)
+        first, _, digests, owner = graph.paths(texts)
+        owners, starts = texts.ids[owner], first - texts.starts[owner]
         order = np.lexsort((starts, owners, digests[:, 1], digests[:, 0]))
         digests, owners, starts = digests[order], owners[order], starts[order]
         new = np.flatnonzero(np.concatenate([[True], (digests[1:] != digests[:-1]).any(1)])) if len(order) else np.zeros(0, np.int64)
@@ -298,29 +321,36 @@ def marked(docs: DataFrame, digest: bool, bits: int = 64) -> DataFrame:
         graph = Graph(edges.column("hashes"), edges.column("docs"), bits)
         told = told.filter(known).sort_by([("a", "ascending"), ("b", "ascending")])
         a, b, source, place = (told.column(c).to_numpy() for c in ("a", "b", "source", "source_start"))
-        out = []
-        for d, t in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
-            words, spans = split_words(t), []
-            if d is not None and len(a):
-                starts, sizes, digests = graph.paths(words)
-                at = np.searchsorted(a, digests[:, 0])
-                # digests that share their first half follow one another
-                while len(at) and (on := (at < len(a)) & (a[at.clip(max=len(a) - 1)] == digests[:, 0]) & (b[at.clip(max=len(a) - 1)] < digests[:, 1])).any():
-                    at += on
-                at = at.clip(max=len(a) - 1)
-                hit = (a[at] == digests[:, 0]) & (b[at] == digests[:, 1]) & (source[at] < d)
-                spans = spans_of(starts[hit], sizes[hit], source[at[hit]], place[at[hit]])
-            n = len(words)
-            if spans:
-                keep = np.ones(n, bool)
-                for start, length, *_ in spans:
-                    keep[start : start + length] = False
-                words = [words[i] for i in np.flatnonzero(keep).tolist()]
-            kept = b" ".join(words)
+        texts = Texts(docs, keep=True)
+        first, sizes, digests, owner = graph.paths(texts) if len(a) else graph.paths(Texts(docs.slice(0, 0), keep=True))
+        at = np.searchsorted(a, digests[:, 0])
+        while len(at):  # digests that share their first half follow one another
+            where = at.clip(max=len(a) - 1)
+            on = (at < len(a)) & (a[where] == digests[:, 0]) & (b[where] < digests[:, 1])
+            if not on.any():
+                at = where
+                break
+            at += on
+        hit = np.flatnonzero((a[at] == digests[:, 0]) & (b[at] == digests[:, 1]) & (source[at] < texts.ids[owner])) if len(at) else at
+        owner, starts, sizes, source, place = owner[hit], (first - texts.starts[owner])[hit], sizes[hit], source[at[hit]], place[at[hit]]
+        cut_at, out = np.searchsorted(owner, np.arange(docs.num_rows + 1)).tolist(), []
+        for i, d in enumerate(docs.column("doc_id").to_pylist()):
+            lo, hi, n = cut_at[i], cut_at[i + 1], int(texts.sizes[i])
+            base, last = int(texts.starts[i]), int(texts.ends[i])
+            spans = spans_of(starts[lo:hi], sizes[lo:hi], source[lo:hi], place[lo:hi])
+            parts, done, gone = [], 0, 0
+            for start, length, *_ in spans:  # in order of their starts; they may overlap
+                if start > done:
+                    parts.append(texts.text[texts.start[base + done] : texts.stop[base + start - 1]])
+                gone += max(0, start + length - max(done, start))
+                done = max(done, start + length)
+            if done < n:
+                parts.append(texts.text[texts.start[base + done] : texts.stop[last - 1]])
+            kept = b" ".join(parts)
             if digest:
-                out.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest(), len(spans)))
+                out.append((d, n, gone, hashlib.sha256(kept).hexdigest(), len(spans)))
             else:
-                out.append((d, n, n - len(words), kept.decode("utf-8", "surrogatepass"), [dict(zip(fields, s, strict=True)) for s in spans]))
+                out.append((d, n, gone, kept.decode("utf-8", "surrogatepass"), [dict(zip(fields, s, strict=True)) for s in spans]))
         columns = zip(*out, strict=True) if out else [()] * 5
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
