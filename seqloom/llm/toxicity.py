@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .bpe import slices
 from .common import materialise, table
 
-EXAMPLES = 16384
+EXAMPLES = 8192
 NEIGHBOURS, CLOSEST = 15, 0.05
 THRESHOLD = 0.7
 #: Terms of at least this share of the examples have a weight for every row; examples of a block; groups of alike examples;
