@@ -73,20 +73,20 @@ def fingerprint_shift(text_size: int) -> int:
     return max(0, 64 - (max(1, text_size // 6).bit_length() + 10))
 
 
-FOUND = "kind int, shard int, bucket int, doc long, n long, rep long, prints binary"
+FOUND = "kind int, shard int, bucket int, doc long, n long, rep long, key long, prints binary"
 
 
 def classes_and_prints(rows: DataFrame, buckets: int, shift: int) -> DataFrame:
     """Rows of two kinds: 0, a document with its class; 1, a shard's fingerprints for a bucket."""
     names = [f.split()[0] for f in FOUND.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
         shard, out, seen = key[0].as_py(), [], {}
-        for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):
+        for doc, text, text_key in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text", "key")), strict=True):
             s = shingle_set(text)
             c = class_of(s)
-            out.append((0, shard, None, doc, len(s), c, None))
+            out.append((0, shard, None, doc, len(s), c, text_key, None))
             if len(s):
                 seen[c] = s
         prints, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *seen.values()]) >> np.uint64(shift), return_counts=True)
@@ -96,8 +96,8 @@ def classes_and_prints(rows: DataFrame, buckets: int, shift: int) -> DataFrame:
             some = prints[starts[b] : starts[b + 1]]
             # fingerprints in few bytes: differences of an ascending list, and a mark for those found twice here
             steps = np.diff(some, prepend=np.uint64(0)) << np.uint64(1) | (counts[starts[b] : starts[b + 1]] > 1).astype(np.uint64)
-            out.append((1, shard, b, None, None, None, narrow(steps)))
-        columns = zip(*out, strict=True) if out else [()] * 7
+            out.append((1, shard, b, None, None, None, None, narrow(steps)))
+        columns = zip(*out, strict=True) if out else [()] * 8
         return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return rows.groupBy("shard").applyInArrow(look, FOUND)
@@ -339,15 +339,15 @@ def sets_of(rows: DataFrame, info: DataFrame) -> DataFrame:
     return rows.groupBy("shard").cogroup(info.groupBy("shard")).applyInArrow(look, SETS)
 
 
-def jaccard_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_links (other documents it links with), rep of each row of ``docs``."""
+def row_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, key (of the text), n_shingles, group, component_id, n_links of each row of ``docs``; no group without words."""
     spark = docs.sparkSession
     size = text_bytes(docs, "text")
-    rows, shift = dealt(docs, shard_count(size)), fingerprint_shift(size)
+    rows, shift = dealt(docs.select("doc_id", "text", F.xxhash64("text").alias("key")), shard_count(size), "key"), fingerprint_shift(size)
     found = materialise(classes_and_prints(rows, bucket_count(size, 6), shift), "sets")
     release(spark)
     shared = materialise(shared_prints(found), "shared")
-    members = found.where("kind = 0").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), "rep", "shard")
+    members = found.where("kind = 0").select(F.col("doc").alias("doc_id"), "key", F.col("n").alias("n_shingles"), "rep", "shard")
     members = materialise(members, "members")
     discard(found)
     release(spark)
@@ -372,21 +372,38 @@ def jaccard_groups(docs: DataFrame) -> DataFrame:
     classes = classes.withColumn("group", F.coalesce("component", "rep"))
     smallest = classes.groupBy("group").agg(F.min("first").alias("component_id"))
     classes = classes.join(smallest, "group").select(
-        F.col("rep").alias("of"), "component_id", (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1).alias("n_links")
+        F.col("rep").alias("of"), "group", "component_id", (F.coalesce("degree", F.lit(0)) + F.col("weight") - 1).alias("n_links")
     )
     result = members.join(classes, F.col("rep") == F.col("of"))
     empty = F.col("n_shingles") == 0
     return result.select(
-        "doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "doc_id", "key", "n_shingles", F.when(~empty, F.col("group")).alias("group"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"),
     )
 
 
+def jaccard_groups(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links (other documents it links with) of each row of ``docs``."""
+    return row_groups(docs).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose ``doc_id`` is the smallest of their group; rows with a null id all stay."""
-    groups = jaccard_groups(docs.select("doc_id", "text"))
-    losers = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(losers, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """Of each group one row stays, that with the smallest ``doc_id`` (nulls last; then the smallest hash of the text); rows
+    without words all stay.  Rows are told apart by id and text; of wholly alike ones of a group one stays."""
+    groups = row_groups(docs.select("doc_id", "text")).where("group IS NOT NULL")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    first = groups.groupBy("group").agg(F.min(order).alias("first"))
+    members = groups.groupBy("group", "doc_id", "key").agg(F.count(F.lit(1)).alias("n")).join(first, "group")
+    stays = members["doc_id"].eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    # what happens to rows: only those that don't simply stay
+    verdicts = members.select("doc_id", "key", F.when(stays, F.lit("one")).otherwise(F.lit("none")).alias("verdict"), "n").where("verdict = 'none' OR n > 1")
+    verdicts = materialise(verdicts.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "verdict"), "verdicts")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"))
+    judged = rows.join(verdicts, F.col("own_id").eqNullSafe(F.col("of_id")) & (F.col("own_key") == F.col("of_key")), "left")
+    kept = judged.where("verdict IS NULL").select("row")
+    if not verdicts.where("verdict = 'one'").isEmpty():
+        kept = kept.unionByName(judged.where("verdict = 'one'").dropDuplicates(["own_id", "own_key"]).select("row"))
+    return kept.select("row.*")
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,6 +71,20 @@ def test_ngram_join(spark, edge_docs, monkeypatch):
     assert kept.columns == edge_docs.columns and {2, 3}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows are told apart by id and text, and extra columns may have any name."""
+    ship(spark)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    docs = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (None, d + " more"), (4, ""), (4, ""), (5, None), (6, a.upper()), (1, a)]
+    df = spark.createDataFrame([(i, t, n, n, n) for n, (i, t) in enumerate(docs)], "doc_id long, text string, _gone int, row int, verdict int")
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    found = collections.Counter(plain(kept))
+    near = {(None, d): found.pop((None, d), 0), (None, d + " more"): found.pop((None, d + " more"), 0)}
+    assert sum(near.values()) == 1
+    assert found == collections.Counter([(1, a), (2, b), (3, c), (4, ""), (4, ""), (5, None)])
+
+
 def test_ngram_join_of_a_large_group_in_blocks(spark, monkeypatch):
     """Near copies that reach one another only through chains, with tiny blocks and lists."""
     ship(spark)
