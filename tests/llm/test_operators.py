@@ -363,6 +363,22 @@ def test_nearest_neighbours(spark):
     assert [r["rank"] for r in sorted(few, key=lambda r: r["rank"])] == [1, 2, 3, 4]
 
 
+def test_neighbours_of_repeated_rows_and_by_distance(spark, monkeypatch):
+    """Repeated queries each have a result, copies never fill the short list, chunks and blocks are as good as one."""
+    ship(spark)
+    x, df = vectors(spark)
+    x = x.astype(float)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 2000)
+    some = df.where("vec_id IN (0, 50)")
+    found = ann.search(df.unionByName(df.where("vec_id = 60")), some.unionByName(some), shortlist=30, by_distance=True).collect()
+    assert collections.Counter(r["query_id"] for r in found) == {0: 40, 50: 40}
+    assert sorted(r["vec_id"] for r in found if r["query_id"] == 50) == sorted(2 * [*range(51, 70), 60])
+    near = sorted((((x[i] - x[0]) ** 2).sum(), i) for i in range(1, 600))
+    scores = {r["vec_id"]: -r["score"] for r in found if r["query_id"] == 0}
+    assert len(scores.keys() & {i for _, i in near[:20]}) >= 18 and all(s == pytest.approx(((x[i] - x[0]) ** 2).sum()) for i, s in scores.items())
+    assert sum(r["score"] == 0 for r in found) == 40
+
+
 @pytest.mark.parametrize("block, common", [(64, 0.03), (4, 0.03), (4, 0.15), (4, 2)])
 def test_block_max_index_is_exact(monkeypatch, block, common):
     monkeypatch.setattr(toxicity, "BLOCK", block)
