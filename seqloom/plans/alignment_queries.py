@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions.symbols import ALIGNED, STANDS_FOR
 from seqloom.operators import alignment, consensus, hmm
+from seqloom.operators.build import Builder
+from seqloom.operators.profile import sequences
 from seqloom.plans import align
-from seqloom.plans.profile_queries import R, S, reads, seqs, table
+from seqloom.plans.profile_queries import R, S, reads, seqs, sequence_expression, table
 from seqloom.plans.storage import written
 
 ADD, LENGTH, INSERTS = -3.0, 500, [(10, 20), (100, 130)]
@@ -197,10 +202,74 @@ def align_report(spark, sf_dir):
     return rows.select(F.col("param_id").cast("long").alias("param_id"), F.round("sp", 6).alias("sp"), F.round("entropy", 5).alias("entropy"), F.col("length").cast("long").alias("length"), "best_sp", "best_entropy")
 
 
+# ---- models small enough to list all their state paths: a profile of DEPTH columns against every part name
+
+DEPTH = 4
+#: Start values that make no two state paths of a name equally likely.
+UNLIKE = {"M2D": -2.0, "M2I": -5.0, "I2I": -0.9, "D2M": -0.6, "M2End": -0.4}
+
+
+def names_of(spark, sf_dir) -> DataFrame:
+    return sequences(table(spark, sf_dir, "part").select("p_name").distinct(), "p_name", "p_name")
+
+
+def over_names(spark, sf_dir, kernel, schema: str) -> DataFrame:
+    """kernel(name, model) -> rows, for the graph of each name and the smoothed profile of all names' first columns."""
+    names = names_of(spark, sf_dir)
+    cells = names.select("seq_ord", F.posexplode(F.split("seq", "")).alias("col", "symbol")).where((F.col("col") < DEPTH) & (F.col("symbol") != ""))
+    counts = cells.groupBy("col").agg(*[F.count_if(F.col("symbol") == b).cast("double").alias(f"n_{b.lower()}") for b in consensus.BASES])
+    rows = consensus.smoothed(consensus.profile_columns(counts), ADD).collect()  # DEPTH columns of four
+    emission = np.zeros((DEPTH, 4))
+    for r in rows:
+        emission[r["pos"], consensus.BASES.index(r["base"])] = r["prob"]
+    columns = [f.split()[0] for f in schema.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, seq in zip(rows["seq_ord"], rows["seq"], strict=True):
+            g = Builder(1)
+            g.add(seq)
+            out += kernel(name, hmm.Model(g, consensus.Consensus([None] * DEPTH, emission, []), consensus.start_parameters(emission, values=UNLIKE)))
+        return pd.DataFrame(out, columns=columns)
+
+    return names.where("seq <> ''").groupBy("seq_ord").applyInPandas(run, schema)
+
+
+def hmm_exact(spark, sf_dir):
+    """ln P of each name by the forward and the backward pass, and of its best state path."""
+
+    def kernel(name, model):
+        values, end = model.viterbi(), model.g.paths[0][-1]
+        return [(name, model.forward()[1], model.backward()[1], model.finish(*model.full(end, values[end]), np.maximum))]
+
+    rows = over_names(spark, sf_dir, kernel, "name string, forward double, backward double, best double")
+    return rows.select("name", *[F.round(c, 8).alias(c) for c in ("forward", "backward", "best")])
+
+
+def hmm_exact_counts(spark, sf_dir):
+    """Expected counts of all names."""
+
+    def kernel(name, model):
+        return [(k, j, s, math.exp(x)) for k, j, s, x in model.expectations()]
+
+    rows = over_names(spark, sf_dir, kernel, "kind string, pos long, symbol string, expected double").groupBy("kind", "pos", "symbol")
+    return rows.agg(F.round(F.sum("expected"), 7).alias("expected")).where("expected > 0")
+
+
+def viterbi_exact(spark, sf_dir):
+    """State of each symbol on the best path: 0 match, 2 insert; its column; inserts still to come there."""
+
+    def kernel(name, model):
+        path = model.g.paths[0]
+        return [(name, i, state, j, run) for i, (state, j, run) in enumerate(model.traced(model.viterbi(), path))]
+
+    return over_names(spark, sf_dir, kernel, "name string, site long, state long, pos long, run long")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        column_counts, sp_score, entropy, alignment_score, majority_rebase, profile_columns, consensus_seq, emission_smooth, degenerate_emission, hmm_init, hyper_grid,
+        hmm_exact, hmm_exact_counts, viterbi_exact, column_counts, sp_score, entropy, alignment_score, majority_rebase, profile_columns, consensus_seq, emission_smooth, degenerate_emission, hmm_init, hyper_grid,
         column_layout, cell_place, sparse_encode, fasta_render, alignment_merge, row_offsets, report_rank, hmm_forward, hmm_em, viterbi, align_end_to_end, align_report,
     )
 }
@@ -237,7 +306,40 @@ def _hmm_init_sql() -> str:
     return f"WITH p AS (SELECT unnest(range(0, {LENGTH + 1})) AS pos), a AS ({rows}) SELECT pos, kind, round(logp, 8) AS logp FROM a"
 
 
+#: All state paths of each name: logarithm of the probability, and the steps (state, column, letters read before it).
+PATHS = f"""s AS (SELECT DISTINCT p_name AS name, {sequence_expression("p_name")} AS seq FROM part),
+c AS (SELECT name, unnest(range(0, {DEPTH})) AS pos, seq FROM s),
+m AS (SELECT pos, b AS base, avg((substr(seq, pos + 1, 1) = b)::int) AS share FROM c, (SELECT unnest(['A', 'T', 'C', 'G']) AS b) WHERE length(seq) > pos GROUP BY ALL),
+f AS (SELECT pos, base, ln((share + exp({ADD})) / sum(share + exp({ADD})) OVER (PARTITION BY pos) + 1e-16) AS lp FROM m),
+g(src, dst) AS (VALUES ('S', 'M'), ('S', 'I'), ('S', 'D'), ('M', 'M'), ('M', 'I'), ('M', 'D'), ('I', 'M'), ('I', 'I'), ('D', 'M'), ('D', 'D')),
+r AS (
+  SELECT name, seq, 'S' AS st, -1 AS j, 0 AS i, 0.0::double AS lp, []::STRUCT(src VARCHAR, st VARCHAR, j INT, i INT)[] AS steps FROM s WHERE seq <> ''
+  UNION ALL
+  SELECT name, seq, dst, n.j, r.i + (dst <> 'D')::int,
+    r.lp + CASE src || dst WHEN 'MM' THEN ln(1 - exp({UNLIKE["M2D"]}) - exp({UNLIKE["M2I"]})) WHEN 'MD' THEN {UNLIKE["M2D"]}
+      WHEN 'MI' THEN CASE WHEN n.j = {DEPTH} THEN ln(1 - exp({UNLIKE["M2End"]})) ELSE {UNLIKE["M2I"]} END WHEN 'II' THEN {UNLIKE["I2I"]} WHEN 'IM' THEN ln(1 - exp({UNLIKE["I2I"]}))
+      WHEN 'DM' THEN {UNLIKE["D2M"]} WHEN 'DD' THEN ln(1 - exp({UNLIKE["D2M"]})) ELSE ln(1.0 / 3) END + CASE dst WHEN 'M' THEN f.lp WHEN 'I' THEN ln(0.25) ELSE 0 END,
+    list_append(steps, {{'src': src, 'st': dst, 'j': n.j, 'i': r.i}})
+  FROM r JOIN g ON g.src = r.st, LATERAL (SELECT CASE WHEN r.st = 'I' THEN r.j ELSE r.j + 1 END AS j) n
+  LEFT JOIN f ON f.pos = n.j AND f.base = substr(seq, r.i + 1, 1)
+  WHERE (dst = 'D' OR r.i < length(seq)) AND (dst = 'I' OR n.j < {DEPTH})),
+d AS (SELECT name, seq, steps, lp + CASE st WHEN 'D' THEN 0 WHEN 'M' THEN {UNLIKE["M2End"]} ELSE ln(1 - exp({UNLIKE["I2I"]})) END AS lp FROM r
+  WHERE i = length(seq) AND (st IN ('M', 'D') AND j = {DEPTH - 1} OR st = 'I' AND j = {DEPTH})),
+w AS (SELECT name, seq, steps, lp, exp(lp - max(lp) OVER n) / sum(exp(lp)) OVER n * exp(max(lp) OVER n) AS p FROM d WINDOW n AS (PARTITION BY name)),
+k AS (SELECT name, seq, p, lp, unnest(steps, recursive := true) FROM w)"""
+
 ORACLES = {
+    "hmm_exact": f"""WITH RECURSIVE {PATHS}, t AS (SELECT name, ln(sum(exp(lp))) AS total, max(lp) AS best FROM d GROUP BY name)
+SELECT name, round(total, 8) AS forward, round(total, 8) AS backward, round(best, 8) AS best FROM t""",
+    "hmm_exact_counts": f"""WITH RECURSIVE {PATHS}, a AS (
+  SELECT 'emit' AS kind, j, substr(seq, i + 1, 1) AS symbol, p FROM k WHERE st = 'M'
+  UNION ALL SELECT 'occ_' || lower(st), j, '', p FROM k WHERE st <> 'D' OR i > 0
+  UNION ALL SELECT lower(src || st), j, '', p FROM k WHERE src IN ('M', 'I')
+  UNION ALL SELECT 'start', CASE st WHEN 'M' THEN 0 WHEN 'I' THEN 1 ELSE 2 END, '', p FROM k WHERE src = 'S')
+SELECT kind, j::bigint AS pos, symbol, round(sum(p), 7) AS expected FROM a GROUP BY kind, j, symbol HAVING round(sum(p), 7) > 0""",
+    "viterbi_exact": f"""WITH RECURSIVE {PATHS}, b AS (SELECT name, arg_max(steps, lp) AS steps FROM d GROUP BY name), u AS (SELECT name, unnest(steps, recursive := true) FROM b),
+o AS (SELECT name, st, j, i, count(*) OVER (PARTITION BY name, st, j) - row_number() OVER (PARTITION BY name, st, j ORDER BY i) AS run FROM u WHERE st <> 'D')
+SELECT name, i::bigint AS site, CASE st WHEN 'M' THEN 0 ELSE 2 END::bigint AS state, j::bigint AS pos, CASE st WHEN 'M' THEN 0 ELSE run END::bigint AS run FROM o""",
     "column_counts": f"WITH {COUNTS} SELECT col, n_a, n_t, n_c, n_g, n_gap FROM k",
     "sp_score": f"WITH {SCORES} SELECT n_cols::bigint AS n_cols, pos, neg, round({SP}, 9) AS sp FROM z",
     "entropy": f"WITH {SCORES} SELECT round(h, 5) AS entropy, round(coalesce(core, 0), 6) AS core_entropy FROM z",

@@ -252,6 +252,24 @@ n AS (SELECT fragment, headtail, pos + 1 AS coord FROM w GROUP BY ALL),
 x AS (SELECT *, lead(fragment) OVER o AS f2, lead(headtail) OVER o AS h2 FROM w WINDOW o AS (PARTITION BY seq_ord ORDER BY pos)),
 e AS (SELECT DISTINCT fragment AS f1, headtail AS h1, pos + 1 AS c1, f2, h2, pos + 2 AS c2 FROM x WHERE f2 IS NOT NULL)"""
 MERGED = f"""{WINDOWS}, m AS (SELECT *, min(seq_ord * 16777216 + pos) OVER (PARTITION BY graph_id, fragment, headtail, pos) AS id FROM w)"""
+# Nodes of READ weighted, in places 0, 1, .. of the kernels' order; every edge leads from one coord to the next.
+GRID = f"""{READ}, v AS (SELECT *, row_number() OVER (ORDER BY coord, fragment, headtail) - 1 AS id FROM n),
+y AS (SELECT a.id AS src, b.id AS dst, a.coord AS c1, count(*) AS weight FROM x
+  JOIN v a ON a.fragment = x.fragment AND a.headtail = x.headtail AND a.coord = x.pos + 1
+  JOIN v b ON b.fragment = x.f2 AND b.headtail = x.h2 AND b.coord = x.pos + 2 GROUP BY ALL)"""
+#: Best path to each node: the larger sum of weights, then the smaller parent.
+BEST = f"""{GRID}, p AS (
+  SELECT id, coord, 0::bigint AS total, -1::bigint AS back FROM v WHERE coord = 1
+  UNION ALL SELECT y.dst, any_value(p.coord) + 1, max(p.total + y.weight)::bigint, arg_min(p.id, (-(p.total + y.weight), p.id))::bigint FROM p JOIN y ON y.src = p.id GROUP BY y.dst)"""
+
+
+def _back_from(ends: str) -> str:
+    """The best path that ends in one of these nodes, as rows id, coord."""
+    return f"""t AS (
+  (SELECT id, coord, back FROM p JOIN v USING (id, coord) WHERE {ends} ORDER BY total DESC, id LIMIT 1)
+  UNION ALL SELECT p.id, p.coord, p.back FROM t JOIN p ON p.id = t.back)"""
+
+
 ORACLES = {
     "chain_nodes": f"WITH {NODES} SELECT graph_id::bigint AS graph_id, headtail::bigint AS headtail, weight::bigint AS weight, count(*)::bigint AS n, sum(coord)::bigint AS coords FROM n GROUP BY ALL",
     "chain_edges": f"WITH {EDGES} SELECT graph_id::bigint AS graph_id, weight::bigint AS weight, count(*)::bigint AS n FROM e GROUP BY ALL",
@@ -309,4 +327,27 @@ SELECT fragment, headtail::bigint AS headtail, coord::bigint AS coord, max(level
   (SELECT fragment, headtail, coord FROM n WHERE headtail & 1 <> 0 ORDER BY coord, fragment, headtail LIMIT 1)
   UNION SELECT e.f2, e.h2, e.c2 FROM b JOIN e ON e.f1 = b.fragment AND e.h1 = b.headtail AND e.c1 = b.coord)
 SELECT fragment, headtail::bigint AS headtail, coord::bigint AS coord FROM b""",
+    # Components of sequences that share a node are those of the nodes: each sequence is a path.
+    "islands_components": f"""WITH RECURSIVE {READ}, m AS (SELECT seq_ord, min(seq_ord) OVER (PARTITION BY fragment, headtail, pos) AS near FROM w),
+l AS (SELECT DISTINCT seq_ord AS a, near AS b FROM m UNION SELECT DISTINCT near, seq_ord FROM m),
+r AS (SELECT a, a AS b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+o AS (SELECT a AS seq_ord, min(b) AS root FROM r GROUP BY a),
+k AS (SELECT root, count(DISTINCT (fragment, headtail, pos)) AS size FROM w JOIN o USING (seq_ord) GROUP BY root)
+SELECT size::bigint AS size, count(*)::bigint AS n FROM k GROUP BY size""",
+    "unitigs": f"""WITH RECURSIVE {GRID}, o AS (SELECT src, count(*) AS n FROM y GROUP BY src), i AS (SELECT dst, count(*) AS n FROM y GROUP BY dst),
+l AS (SELECT src, dst FROM y JOIN o USING (src) JOIN i USING (dst) WHERE o.n = 1 AND i.n = 1),
+u AS (SELECT id AS head, id, 1 AS len FROM v WHERE id NOT IN (SELECT dst FROM l) UNION ALL SELECT u.head, l.dst, u.len + 1 FROM u JOIN l ON l.src = u.id)
+SELECT any_value(v.coord)::bigint AS first, max(len)::bigint AS len, any_value(v.fragment) AS start FROM u JOIN v ON v.id = u.head GROUP BY u.head""",
+    "heaviest_path": f"""WITH RECURSIVE {BEST}, {_back_from("headtail & 2 <> 0")}
+SELECT fragment, headtail::bigint AS headtail, coord::bigint AS coord, (coord - 1)::bigint AS place FROM t JOIN v USING (id, coord)""",
+    "longest_path_nodes": f"""WITH RECURSIVE {GRID}, t AS (SELECT id FROM v WHERE coord = (SELECT max(coord) FROM v) UNION SELECT y.src FROM t JOIN y ON y.dst = t.id)
+SELECT fragment, headtail::bigint AS headtail, coord::bigint AS coord FROM t JOIN v USING (id)""",
+    "state_range": f"""WITH RECURSIVE {BEST}, {_back_from("id NOT IN (SELECT src FROM y)")},
+z AS (SELECT v.id, v.coord, t.coord - 1 AS own, (SELECT count(*) FROM t) AS len FROM v LEFT JOIN t USING (id)),
+f AS (SELECT id, coalesce(own, 0) AS lo FROM z WHERE coord = 1
+  UNION ALL SELECT z.id, greatest(any_value(coalesce(z.own, 0)), max(f.lo)) FROM f JOIN y ON y.src = f.id JOIN z ON z.id = y.dst GROUP BY z.id),
+g AS (SELECT id, coord, coalesce(own, len) AS hi FROM z WHERE coord = (SELECT max(coord) FROM z)
+  UNION ALL SELECT z.id, any_value(z.coord), least(any_value(coalesce(z.own, z.len)), min(g.hi))
+  FROM z LEFT JOIN y ON y.src = z.id LEFT JOIN g ON g.id = y.dst WHERE z.coord = (SELECT max(coord) FROM g) - 1 GROUP BY z.id)
+SELECT fragment, headtail::bigint AS headtail, v.coord::bigint AS coord, lo::bigint AS lo, hi::bigint AS hi FROM v JOIN f USING (id) JOIN g USING (id)""",
 }

@@ -31,9 +31,13 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.sequences(table(spark, sf_dir, "benchmark"), "item_id", "text")
 
 
+def sequence_expression(text: str) -> str:
+    return f"""translate(lower(regexp_replace(coalesce({text}, ''), '[^A-Za-z]', '', 'g')),
+      'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT')"""
+
+
 def sequence_sql(source: str, key: str, name: str = "s") -> str:
-    return f"""{name} AS (SELECT {key} AS seq_ord, translate(lower(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')),
-      'abcdefghijklmnopqrstuvwxyz', 'ATCGATCGATCGATCGATCGATCGAT') AS seq FROM {source})"""
+    return f"{name} AS (SELECT {key} AS seq_ord, {sequence_expression('text')} AS seq FROM {source})"
 
 
 def window_sql(k: int, source: str = "s", name: str = "w", extra: str = "") -> str:

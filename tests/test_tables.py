@@ -19,7 +19,8 @@ SMALLEST = "/root/testdata/sf0.001"
 CHECKED = [
     "seq_lengths", "avg_length_chunk_size", "chunk_assign", "kmer_diversity", "jaccard_pairs", "unambiguous_filter", "pack_unpack", "null_runs", "interval_union",
     "chain_nodes", "degrees", "fragment_reduce", "coords_bwd", "reachability", "sp_score", "majority_rebase", "hmm_init", "column_layout", "cell_place",
-    "sparse_encode", "fasta_render", "alignment_merge", "report_rank",
+    "sparse_encode", "fasta_render", "alignment_merge", "report_rank", "islands_components", "unitigs", "heaviest_path", "longest_path_nodes", "state_range",
+    "hmm_exact", "hmm_exact_counts", "viterbi_exact",
 ]
 
 
