@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Alignment codes are the places in ALIGNED, emission codes those in EMITTED; what degenerate bases stand for.
@@ -51,7 +51,9 @@ def low_bits(packed: Column, bits: int = 32) -> Column:
     return packed.bitwiseAND(F.lit((1 << bits) - 1))
 
 
-def log_sum_exp_array(values: Column) -> Column:
-    top = F.array_max(values)
-    total = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return F.when(top == float("-inf"), F.lit(float("-inf"))).otherwise(top + F.log(total))
+def log_sum_exp(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """ln of the sum of exp(column) for each key, safe for values far below zero; minus infinity where all are."""
+    rows = rows.withColumn("_top", F.max(column).over(Window.partitionBy(*keys)))
+    part = F.when(F.col("_top") == float("-inf"), F.lit(0.0)).otherwise(F.exp(F.col(column) - F.col("_top")))
+    found = rows.groupBy(*keys).agg(F.first("_top").alias("_top"), F.sum(part).alias("_sum"))
+    return found.select(*keys, F.when(F.col("_top") == float("-inf"), F.col("_top")).otherwise(F.col("_top") + F.log("_sum")).alias(column))

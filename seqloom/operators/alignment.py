@@ -37,13 +37,52 @@ def place_cells(states: DataFrame, layout: DataFrame) -> DataFrame:
     return rows.select("row", col.alias("col"), code_of(F.col("symbol"), ALIGNED).alias("sym"))
 
 
-def sparse_columns(cells: DataFrame, mains: DataFrame) -> DataFrame:
-    """mains: col, main.  Symbols other than the main one are listed with their rows."""
-    marked = cells.join(mains, "col").where("sym <> main")
-    minors = marked.groupBy("col", "sym").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-    listed = minors.groupBy("col").agg(F.array_sort(F.collect_list(F.struct("sym", "rows"))).alias("minors"))
-    empty = F.array().cast("array<struct<sym:int,rows:array<bigint>>>")
-    return mains.join(listed, "col", "left").select("col", "main", F.coalesce("minors", empty).alias("minors"))
+#: Row numbers of one piece of a sparse column.
+PIECE = 1 << 16
+
+
+def pieces_of(mains: DataFrame, n_rows: int, step: int) -> DataFrame:
+    """mains with each piece of a column, and the rows of the piece."""
+    rows = mains.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((n_rows - 1) // step).cast("long"))))
+    return rows.withColumn("span", F.sequence(F.col("piece") * step, F.least(F.lit(n_rows).cast("long"), (F.col("piece") + 1) * step) - 1))
+
+
+def sparse_columns(cells: DataFrame, mains: DataFrame, n_rows: int | None = None, step: int = PIECE) -> DataFrame:
+    """mains: col, main.  Gives col, main, piece, sym, rows: symbols other than the main one with their rows, in pieces of
+    ``step`` row numbers, so no list grows with the number of rows; a column of main symbols only has one row without rows.
+
+    With ``n_rows`` rows are numbered from 0, and gaps (which cells don't store) in columns with another main symbol are listed.
+    """
+    piece = F.floor(F.col("row") / step)
+    minors = cells.join(mains, "col").where("sym <> main").groupBy("col", piece.alias("piece"), "sym").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    if n_rows:
+        held = cells.where("sym <> 0").groupBy("col", piece.alias("piece")).agg(F.collect_list(F.col("row").cast("long")).alias("held"))
+        gaps = pieces_of(mains.where("main <> 0").select("col"), n_rows, step).join(held, ["col", "piece"], "left")
+        missing = F.array_except("span", F.coalesce("held", F.array().cast("array<bigint>")))
+        minors = minors.unionByName(gaps.select("col", "piece", F.lit(0).alias("sym"), missing.alias("rows")).where(F.size("rows") > 0))
+    return mains.select("col", "main").join(minors, "col", "left")
+
+
+def cells_of(columns: DataFrame, n_rows: int, step: int = PIECE) -> DataFrame:
+    """The cells (row, col, sym, without gaps) of sparse columns whose rows are numbered from 0."""
+    listed = columns.where("rows IS NOT NULL")
+    minors = listed.where("sym <> 0").select(F.explode(F.col("rows").cast("array<bigint>")).alias("row"), "col", "sym")
+    others = listed.groupBy("col", "piece").agg(F.flatten(F.collect_list(F.col("rows").cast("array<bigint>"))).alias("others"))
+    mains = pieces_of(columns.where("main <> 0").select("col", "main").distinct(), n_rows, step).join(others, ["col", "piece"], "left")
+    rest = F.array_except("span", F.coalesce("others", F.array().cast("array<bigint>")))
+    return minors.unionByName(mains.select(F.explode(rest).alias("row"), "col", F.col("main").alias("sym")))
+
+
+def counts_of(columns: DataFrame, n_rows: int) -> DataFrame:
+    """col, sym, n of sparse columns, without listing the main symbol's rows."""
+    minors = columns.where("rows IS NOT NULL").groupBy("col", "sym").agg(F.sum(F.size("rows")).alias("n"))
+    mains = columns.groupBy("col", F.col("main").alias("sym")).agg((F.lit(n_rows) - F.coalesce(F.sum(F.size("rows")), F.lit(0))).alias("n"))
+    return minors.unionByName(mains).where("n > 0").select("col", "sym", F.col("n").cast("long").alias("n"))
+
+
+def rebased(columns: DataFrame, n_rows: int, step: int = PIECE) -> DataFrame:
+    """Sparse columns with each column's most frequent symbol as the main one, and the others listed anew."""
+    return sparse_columns(cells_of(columns, n_rows, step), majority_mains(counts_of(columns, n_rows)), n_rows, step)
 
 
 def symbol_counts(cells: DataFrame, n_rows) -> DataFrame:
@@ -114,6 +153,20 @@ def row_offsets(parts: DataFrame) -> DataFrame:
     return parts.select("part", "n_rows", F.coalesce(F.sum("n_rows").over(before), F.lit(0)).alias("first_row"))
 
 
+def merged_cells(cells: DataFrame, parts: DataFrame, sizes: DataFrame) -> DataFrame:
+    """cells (part, row, col, sym) of alignments to one profile, put one below the other in the columns of all.
+
+    parts: part, pos, n_insert; sizes: part, n_rows.  A part's inserts stay beside its match columns.
+    """
+    before = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.select("part", "pos", "n_insert", F.coalesce(F.sum(F.col("n_insert") + 1).over(before), F.lit(0)).alias("own_first"))
+    new = merge_alignments(parts).select("part", "pos", "first_own")
+    columns = own.join(new, ["part", "pos"]).select("part", F.posexplode(F.sequence(F.col("own_first"), F.col("own_first") + F.col("n_insert"))).alias("at", "col"), "first_own")
+    moved = columns.select("part", "col", (F.col("first_own") + F.col("at")).alias("new_col"))
+    rows = cells.join(moved, ["part", "col"]).join(F.broadcast(row_offsets(sizes).select("part", "first_row")), "part")
+    return rows.select((F.col("row") + F.col("first_row")).alias("row"), F.col("new_col").alias("col"), "sym")
+
+
 def ranked_report(scores: DataFrame) -> DataFrame:
     """scores: param_id, sp, entropy, length.  Marks the largest sp and the smallest entropy, ties to the first."""
     best = scores.agg(F.max_by("param_id", F.struct("sp", -F.col("param_id"))).alias("by_sp"), F.min_by("param_id", F.struct("entropy", "param_id")).alias("by_entropy"))
@@ -124,10 +177,24 @@ def ranked_report(scores: DataFrame) -> DataFrame:
     )
 
 
-def rendered_rows(cells: DataFrame, columns: DataFrame, n_cols: int, n_rows_col: str = "row") -> DataFrame:
-    """row, aligned: each row as text, gaps as '-'.  ``columns`` has the rows to render (row)."""
+def drawn(entries: Column, n_cols: int) -> Column:
+    """Text of sorted entries (col, s): gaps fill the room between neighbours."""
+    last = F.concat(F.array(F.lit(-1).cast("long")), F.transform(entries, lambda x: x["col"].cast("long")))
+    before = F.slice(last, 1, F.size(entries))
+    parts = F.zip_with(entries, before, lambda x, p: F.concat(F.repeat(F.lit("-"), (x["col"] - p - 1).cast("int")), x["s"]))
+    return F.concat(F.array_join(parts, ""), F.repeat(F.lit("-"), (F.lit(n_cols - 1) - F.element_at(last, -1)).cast("int")))
+
+
+def rendered_rows(cells: DataFrame, rows: DataFrame, n_cols: int) -> DataFrame:
+    """row, aligned: each row as text, gaps as '-'.  ``rows`` has the rows to render (row)."""
     letter = F.substring(F.lit(ALIGNED), F.col("sym") + 1, F.lit(1))
-    held = cells.where("sym <> 0").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("col", letter.alias("s")))).alias("at"))
-    rows = columns.select("row").join(held, "row", "left")
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n_cols - 1)), lambda c: F.coalesce(F.element_at("at", c), F.lit("-"))), "")
-    return rows.select("row", text.alias("aligned"))
+    held = cells.where("sym <> 0").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", letter.alias("s")))).alias("at"))
+    found = rows.select("row").join(held, "row", "left")
+    return found.select("row", F.when(F.col("at").isNull(), F.repeat(F.lit("-"), F.lit(n_cols))).otherwise(drawn(F.col("at"), n_cols)).alias("aligned"))
+
+
+def reference_row(mains: DataFrame, n_cols: int) -> DataFrame:
+    """One row (row is null) of each column's main symbol."""
+    letter = F.substring(F.lit(ALIGNED), F.col("main") + 1, F.lit(1))
+    held = mains.where("main <> 0").agg(F.array_sort(F.collect_list(F.struct("col", letter.alias("s")))).alias("at"))  # as long as the alignment
+    return held.select(F.lit(None).cast("long").alias("row"), drawn(F.col("at"), n_cols).alias("aligned"))

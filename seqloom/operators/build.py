@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
 
 from seqloom.operators.kernels import Dag, heaviest_chain, layers, longest_path_nodes, relayered, rising_choice, tightened
 
@@ -175,27 +173,6 @@ def built(seqs: list[str], k: int) -> Builder:
     return g
 
 
-def chunk_graphs(seqs: DataFrame, k: int) -> DataFrame:
-    """seqs with chunk_id, seq_idx -> one row per node visit: chunk_id, seq_idx, pos, node_id, and the node's own columns.
-
-    Everything else follows from these rows: nodes, edges between neighbours in a path, occurrences.
-    """
-
-    def build(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("seq_idx")
-        rows = rows[rows["seq"].str.len() >= k]
-        g = built(rows["seq"].tolist(), k)
-        out = [
-            (int(rows["chunk_id"].iloc[0]), int(idx), pos, v, g.fragment[v], g.weight[v], g.headtail[v], g.level[v])
-            for idx, path in zip(rows["seq_idx"], g.paths, strict=True)
-            for pos, v in enumerate(path)
-        ]
-        return pd.DataFrame(out, columns=["chunk_id", "seq_idx", "pos", "node_id", "fragment", "weight", "headtail", "coord"])
-
-    schema = "chunk_id int, seq_idx int, pos int, node_id long, fragment string, weight long, headtail int, coord int"
-    return seqs.select("chunk_id", "seq_idx", "seq").groupBy("chunk_id").applyInPandas(build, schema)
-
-
 def anchor_targets(base: Builder, other: Builder) -> tuple[dict[int, int], float]:
     """Nodes of the base that nodes of the other graph's heaviest path match, and how much weight they match with."""
     from seqloom.operators.kernels import heaviest_path
@@ -268,11 +245,3 @@ def merged_graphs(a: Builder, b: Builder) -> tuple[Builder, list[int], list[int]
     final = out.paths.pop()
     first, second = ([final[v] for v in p] for p in places)
     return (out, first, second) if base is a else (out, second, first)
-
-
-def merge_tree(graphs: list[Builder]) -> Builder:
-    """Pairs of neighbours merged level by level; an odd one waits for the next level."""
-    while len(graphs) > 1:
-        pairs = [graphs[i : i + 2] for i in range(0, len(graphs), 2)]
-        graphs = [merged_graphs(*p)[0] if len(p) == 2 else p[0] for p in pairs]
-    return graphs[0]

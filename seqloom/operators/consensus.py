@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.functions.symbols import STANDS_FOR
+from seqloom.functions.symbols import STANDS_FOR, log_sum_exp
 from seqloom.operators.build import Builder
 from seqloom.operators.kernels import Dag, heaviest_path, islands, layers, reachable, state_ranges, unitigs
 
@@ -153,8 +153,7 @@ def degenerate_emissions(emissions: DataFrame) -> DataFrame:
     pairs = [(s, b, len(bases)) for s, bases in STANDS_FOR.items() for b in bases]
     table = F.array(*[F.struct(F.lit(s).alias("symbol"), F.lit(b).alias("of"), F.lit(n).alias("n")) for s, b, n in pairs])
     rows = emissions.select("pos", "base", "logp", F.inline(table)).where("base = of")
-    top = F.max("logp")
-    return rows.groupBy("pos", "symbol").agg((top + F.log(F.sum(F.exp("logp")) / F.first("n") / F.exp(top)) - 0).alias("logp"))
+    return log_sum_exp(rows.select("pos", "symbol", (F.col("logp") - F.log("n")).alias("logp")), ["pos", "symbol"], "logp")
 
 
 def start_transitions(length: int, spark, inserts: list[tuple[int, int]] = ()) -> DataFrame:

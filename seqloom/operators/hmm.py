@@ -14,7 +14,7 @@ import numpy as np
 from seqloom.functions.symbols import EMITTED, STANDS_FOR
 from seqloom.operators.build import Builder
 from seqloom.operators.consensus import BASES, Consensus
-from seqloom.operators.kernels import state_ranges
+from seqloom.operators.kernels import Dag, state_ranges, without_degenerate
 
 NONE = -np.inf
 WINDOW = 100
@@ -38,178 +38,199 @@ def all_emissions(logs: np.ndarray) -> np.ndarray:
     return np.stack(columns, 1)
 
 
+def joined(a: np.ndarray, at: int, b: np.ndarray, b_at: int, combine) -> None:
+    """Combine b, whose first position is b_at, into a, whose first is at, where both have positions."""
+    lo, hi = max(at, b_at), min(at + len(a), b_at + len(b))
+    if lo < hi:
+        part = a[lo - at : hi - at]
+        combine(part, b[lo - b_at : hi - b_at], out=part)
+
+
 class Model:
-    """Parameters laid over a graph: windows, priors, and the passes."""
+    """Parameters laid over a graph: windows, priors, and the passes.
 
-    def __init__(self, g: Builder, ref: Consensus, p: dict[str, np.ndarray], window: int = WINDOW):
-        self.g, self.p, self.dag, self.L = g, p, g.dag(), len(p["match"])
-        self.symbol = np.array([EMITTED.index(f) if f in EMITTED else EMITTED.index("N") for f in g.fragment])
-        self.me, self.ie = all_emissions(p["match"]), all_emissions(p["insert"])
-        lo, hi = state_ranges(self.dag, ref.nodes, self.L)
+    Each node's values are three arrays (M, I, D) over the positions lo .. hi of its window; M and D have none at L.  Time
+    and memory go with nodes and edges times the window, not times the profile.  With ``clean_only`` nodes off all paths
+    of unambiguous symbols are left out, unless there is no such path.
+    """
+
+    def __init__(self, g: Builder, ref: Consensus, p: dict[str, np.ndarray], window: int = WINDOW, clean_only: bool = False):
+        self.g, self.p, self.L = g, p, len(p["match"])
+        whole = g.dag()
+        lo, hi = state_ranges(whole, ref.nodes, self.L)
         self.lo, self.hi = np.maximum(0, lo - window), np.minimum(self.L, hi + window)
+        kept = self.clean_nodes(whole) if clean_only else np.ones(whole.n, bool)
+        both = kept[whole.src] & kept[whole.dst]
+        self.dag = Dag(whole.n, whole.src[both], whole.dst[both], whole.weight[both])
+        self.symbol = np.array([EMITTED.index(f) if f in EMITTED else EMITTED.index("N") for f in g.fragment])
+        none = np.full((1, len(EMITTED)), NONE)
+        self.me, self.ie = np.concatenate([all_emissions(p["match"]), none]), all_emissions(p["insert"])
         into = np.bincount(self.dag.dst, self.dag.weight, minlength=self.dag.n)
         self.prior = np.log(self.dag.weight / into[self.dag.dst]) if len(self.dag.dst) else np.zeros(0)
-        self.starts = [v for v in range(self.dag.n) if g.headtail[v] & 1]
-        self.ends = [v for v in range(self.dag.n) if g.headtail[v] & 2]
+        self.starts = {v for v in range(self.dag.n) if g.headtail[v] & 1 and kept[v]}
+        self.ends = [v for v in range(self.dag.n) if g.headtail[v] & 2 and kept[v]]
         total = sum(g.weight[v] for v in self.ends)
         self.end_prior = {v: float(np.log(g.weight[v] / total)) for v in self.ends}
         # sums of dd up to each position turn the chain of deletions into one accumulation
         dd = np.where(np.isfinite(p["dd"][: self.L]), p["dd"][: self.L], 0.0)
-        self.chain = np.cumsum(np.concatenate([[0.0], dd[1:]])) if self.L else dd
-
-    # -- windows
-
-    def cut(self, v: int, m: np.ndarray, i: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Values outside the node's window are nothing."""
-        lo, hi = int(self.lo[v]), int(self.hi[v])
-        for x in (m, i, d):
-            x[:lo] = NONE
-            x[hi + 1 :] = NONE
-        return m, i, d
-
-    def store(self, v: int, m: np.ndarray, i: np.ndarray, d: np.ndarray) -> tuple:
-        lo, hi = int(self.lo[v]), int(self.hi[v])
-        return m[lo : hi + 1].copy(), i[lo : hi + 1].copy(), d[lo : hi + 1].copy()
+        self.chain = np.concatenate([np.cumsum(np.concatenate([[0.0], dd[1:]])), [0.0]]) if self.L else np.zeros(1)
+        #: the silent chain D_0 .. D_{L-1} from the start, with nothing before and after it
+        self.silent = np.concatenate([[NONE], p["md"][0] + self.chain[: self.L], [NONE]])
+        self.to = {k: np.append(x, NONE) for k, x in p.items() if x.ndim == 1}  # one more position, of which nothing comes
+        self.order = [v for v in self.dag.order if kept[v]]
+
+    def clean_nodes(self, dag: Dag) -> np.ndarray:
+        clean = np.array([f in BASES for f in self.g.fragment], bool)
+        sides = ([v for v in range(dag.n) if self.g.headtail[v] & side] for side in (1, 2))
+        try:
+            return without_degenerate(dag, clean, *sides)
+        except ValueError:
+            return np.ones(dag.n, bool)
 
     def full(self, v: int, kept: tuple) -> list[np.ndarray]:
+        """M, I, D of a node over the whole profile."""
         lo, out = int(self.lo[v]), []
         for x, n in zip(kept, (self.L, self.L + 1, self.L), strict=True):
             a = np.full(n, NONE)
-            a[lo : lo + len(x)] = x
+            a[lo : lo + len(x)] = x[: max(0, n - lo)]
             out.append(a)
         return out
 
-    def before_first(self) -> np.ndarray:
-        """The silent chain D_0 .. D_j from the start."""
-        return self.p["md"][0] + self.chain
-
-    def deletions(self, m: np.ndarray, i: np.ndarray, combine) -> np.ndarray:
+    def deletions(self, lo: int, m: np.ndarray, i: np.ndarray, combine) -> np.ndarray:
         """D_j from M_{j-1}, I_j and D_{j-1} of the same node."""
-        p, n = self.p, self.L
-        enter = combine(np.concatenate([[NONE], m[:-1]]) + np.concatenate([[NONE], p["md"][1:n]]), i[:n] + p["id"][:n])
-        run = combine.accumulate(enter - self.chain)
-        return run + self.chain
-
-    def into(self, v: int, values: dict, combine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """What the parents bring, state by state."""
-        m, i, d = np.full(self.L, NONE), np.full(self.L + 1, NONE), np.full(self.L, NONE)
+        w = len(m)
+        enter = i + self.to["id"][lo : lo + w]
+        combine(enter[1:], m[:-1] + self.to["md"][lo + 1 : lo + w], out=enter[1:])
+        d = combine.accumulate(enter - self.chain[lo : lo + w]) + self.chain[lo : lo + w]
+        if lo + w > self.L:
+            d[-1] = NONE
+        return d
+
+    def step(self, v: int, values: dict, combine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The node's values from its parents'."""
+        lo, hi, s, p = int(self.lo[v]), int(self.hi[v]), self.symbol[v], self.to
+        w = hi - lo + 1
+        fm, fi, fd = (np.full(w + 1, NONE) for _ in range(3))  # what the parents bring, from position lo - 1 on
         for e in self.dag.in_edges(v).tolist():
-            u, w = int(self.dag.src[e]), self.prior[e]
-            lo = int(self.lo[u])
-            for target, x in zip((m, i, d), values[u], strict=True):
-                part = target[lo : lo + len(x)]
-                combine(part, x + w, out=part)
-        return m, i, d
-
-    def step(self, v: int, fm, fi, fd, combine) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The node's values from what comes in (before its symbol)."""
-        p, n, s = self.p, self.L, self.symbol[v]
-        bm, bd = np.concatenate([[NONE], fm]), np.concatenate([[NONE], fd])  # at j: position j - 1
-        m = self.me[:, s] + combine(combine(bm[:n] + p["mm"][:n], bd[:n] + p["dm"][:n]), fi[:n] + p["im"][:n])
-        i = self.ie[:, s] + combine(combine(bm + np.concatenate([[NONE], p["mi"][1:]]), bd + p["di"]), fi + p["ii"])
-        if v in self._start:
-            m[0] = combine(m[0], p["mm"][0] + self.me[0, s])
-            i[0] = combine(i[0], p["mi"][0] + self.ie[0, s])
-        m, i, _ = self.cut(v, m, i, np.zeros(0))
-        d = self.deletions(m, i, combine)
-        return self.cut(v, m, i, d)
+            u, share = int(self.dag.src[e]), self.prior[e]
+            for target, x in zip((fm, fi, fd), values[u], strict=True):
+                joined(target, lo - 1, x + share, int(self.lo[u]), combine)
+        if v in self.starts:
+            joined(fd, lo - 1, self.silent, -1, combine)
+        at = slice(lo, hi + 1)
+        m = self.me[at, s] + combine(combine(fm[:-1] + p["mm"][at], fd[:-1] + p["dm"][at]), fi[1:] + p["im"][at])
+        i = self.ie[at, s] + combine(combine(fm[:-1] + p["mi"][at], fd[:-1] + p["di"][at]), fi[1:] + p["ii"][at])
+        if v in self.starts and lo == 0:
+            m[0] = combine(m[0], self.p["mm"][0] + self.me[0, s])
+            i[0] = combine(i[0], self.p["mi"][0] + self.ie[0, s])
+        return m, i, self.deletions(lo, m, i, combine)
 
     # -- passes
 
+    def swept(self, combine) -> dict:
+        values: dict[int, tuple] = {}
+        for v in self.order:
+            values[v] = self.step(v, values, combine)
+        return values
+
     def forward(self) -> tuple[dict, float]:
         """Forward values of each node, and ln P."""
-        self._start, f, total = set(self.starts), {}, NONE
-        for v in self.dag.order:
-            fm, fi, fd = self.into(v, f, np.logaddexp)
-            if v in self._start:
-                fd = np.logaddexp(fd, self.before_first())
-            m, i, d = self.step(v, fm, fi, fd, np.logaddexp)
-            f[v] = self.store(v, m, i, d)
-            if v in self.end_prior:
-                total = np.logaddexp(total, self.end_prior[v] + self.finish(m, i, d, np.logaddexp))
+        f = self.swept(np.logaddexp)
+        total = NONE
+        for v, share in self.end_prior.items():
+            total = np.logaddexp(total, share + self.finish(*self.full(v, f[v]), np.logaddexp))
         return f, float(total)
 
     def finish(self, m, i, d, combine) -> float:
+        """From the values over the whole profile to the end."""
         p = self.p
         return float(combine(combine(m[-1] + p["mm"][-1], d[-1] + p["dm"][-1]), i[-1] + p["im"][-1]))
 
     def backward(self) -> tuple[dict, float, np.ndarray]:
         """Backward values of each node, ln P, and the backward values of the silent chain before the first symbol."""
-        p, n, b, total = self.p, self.L, {}, NONE
+        p, n, b, total = self.to, self.L, {}, NONE
         begin = np.full(n, NONE)
-        suffix = self.chain
-        for v in reversed(self.dag.order):
-            gm, gi = np.full(n + 1, NONE), np.full(n + 1, NONE)  # gm[n]: the end
+        for v in reversed(self.order):
+            lo, hi = int(self.lo[v]), int(self.hi[v])
+            w = hi - lo + 1
+            gm, gi = np.full(w + 1, NONE), np.full(w + 1, NONE)  # what the children bring, up to position hi + 1
             for e in self.dag.out_edges(v).tolist():
-                c, w = int(self.dag.dst[e]), self.prior[e]
-                cm, ci, _ = self.full(c, b[c])
-                gm[:n] = np.logaddexp(gm[:n], w + self.me[:, self.symbol[c]] + cm)
-                gi = np.logaddexp(gi, w + self.ie[:, self.symbol[c]] + ci)
+                c, share = int(self.dag.dst[e]), self.prior[e]
+                at, s = slice(int(self.lo[c]), int(self.hi[c]) + 1), self.symbol[c]
+                joined(gm, lo, share + self.me[at, s] + b[c][0], int(self.lo[c]), np.logaddexp)
+                joined(gi, lo, share + self.ie[at, s] + b[c][1], int(self.lo[c]), np.logaddexp)
             last = self.end_prior.get(v, NONE)
-            ahead = lse(p["dm"][1:] + gm[1:], p["di"][1:] + gi[1:])
-            ahead[-1] = np.logaddexp(ahead[-1], p["dm"][-1] + last)
-            run = np.logaddexp.accumulate((ahead + suffix)[::-1])[::-1]
-            d = run - suffix
-            nd = np.append(d[1:], NONE)
-            m = lse(p["mm"][1:] + gm[1:], p["mi"][1:] + gi[1:], p["md"][1:] + nd)
-            m[-1] = np.logaddexp(m[-1], p["mm"][-1] + last)
-            i = lse(p["im"] + gm, p["ii"] + gi, p["id"] + np.append(d, NONE))
-            i[-1] = np.logaddexp(i[-1], p["im"][-1] + last)
-            m, i, d = self.cut(v, m, i, d)
-            b[v] = self.store(v, m, i, d)
-            if v in set(self.starts):
+            here, ahead, inner = slice(lo, hi + 1), slice(lo + 1, hi + 2), n - 1 - lo  # place of position L - 1
+            d = np.logaddexp(p["dm"][ahead] + gm[1:], p["di"][ahead] + gi[1:])
+            if 0 <= inner < w:
+                d[inner] = np.logaddexp(d[inner], p["dm"][n] + last)
+            if hi == n:
+                d[-1] = NONE
+            chain = self.chain[here]
+            d = np.logaddexp.accumulate((d + chain)[::-1])[::-1] - chain
+            if hi == n:
+                d[-1] = NONE
+            m = lse(p["mm"][ahead] + gm[1:], p["mi"][ahead] + gi[1:], p["md"][ahead] + np.append(d[1:], NONE))
+            if 0 <= inner < w:
+                m[inner] = np.logaddexp(m[inner], p["mm"][n] + last)
+            i = lse(p["im"][here] + gm[:-1], p["ii"][here] + gi[:-1], p["id"][here] + d)
+            if hi == n:
+                m[-1] = NONE
+                i[-1] = np.logaddexp(i[-1], p["im"][n] + last)
+            b[v] = m, i, d
+            if v in self.starts:
                 s = self.symbol[v]
-                at_m, at_i = self.me[:, s] + m, self.ie[:, s] + i
-                total = lse(total, p["mm"][0] + at_m[0], p["mi"][0] + at_i[0])
-                begin = np.logaddexp(begin, lse(p["dm"][1:] + np.append(at_m[1:], NONE), p["di"][1:] + at_i[1:]))
-        chain = self.before_first()
-        total = np.logaddexp(total, np.logaddexp.reduce(chain + begin)) if n else total
+                at_m, at_i = self.me[here, s] + m, self.ie[here, s] + i
+                if lo == 0:
+                    total = lse(total, self.p["mm"][0] + at_m[0], self.p["mi"][0] + at_i[0])
+                joined(begin, 0, np.logaddexp(p["dm"][here] + at_m, p["di"][here] + at_i), lo - 1, np.logaddexp)
+        total = np.logaddexp(total, np.logaddexp.reduce(self.silent[1:-1] + begin)) if n else total
         return b, float(total), begin
 
     def expectations(self) -> list[tuple[str, int, str, float]]:
         """Expected counts as rows (kind, position, symbol or empty, logarithm)."""
-        f, total = self.forward()
-        b, _, begin = self.backward()
-        p, n = self.p, self.L
-        emit = np.full((n, len(EMITTED)), NONE)
+        f, _ = self.forward()
+        b, total, begin = self.backward()
+        p, n = self.to, self.L
+        emit = np.full((n + 1, len(EMITTED)), NONE)
         kinds = {k: np.full(n + 1, NONE) for k in ("occ_m", "occ_i", "occ_d", "mm", "md", "mi", "im", "id", "ii")}
         start = np.full(3, NONE)
-        for v in self.dag.order:
-            s = self.symbol[v]
-            fm, fi, fd = self.full(v, f[v])
-            bm, bi, bd = self.full(v, b[v])
-            gm, gi, gd = fm + bm - total, fi + bi - total, fd + bd - total
-            emit[:, s] = np.logaddexp(emit[:, s], gm)
-            kinds["occ_m"][:n] = np.logaddexp(kinds["occ_m"][:n], gm)
-            kinds["occ_i"] = np.logaddexp(kinds["occ_i"], gi)
-            kinds["occ_d"][:n] = np.logaddexp(kinds["occ_d"][:n], gd)
-            kinds["md"][1:n] = np.logaddexp(kinds["md"][1:n], fm[:-1] + p["md"][1:n] + bd[1:] - total)
-            kinds["id"][:n] = np.logaddexp(kinds["id"][:n], fi[:n] + p["id"][:n] + bd - total)
-            em, ei = self.me[:, s] + bm, self.ie[:, s] + bi
+
+        def count(kind: str, lo: int, x: np.ndarray) -> None:
+            part = kinds[kind][lo : lo + len(x)]
+            np.logaddexp(part, x, out=part)
+
+        for v in self.order:
+            lo, s = int(self.lo[v]), self.symbol[v]
+            (fm, fi, fd), (bm, bi, bd) = f[v], b[v]
+            w = len(fm)
+            gm = fm + bm - total
+            np.logaddexp(emit[lo : lo + w, s], gm, out=emit[lo : lo + w, s])
+            count("occ_m", lo, gm)
+            count("occ_i", lo, fi + bi - total)
+            count("occ_d", lo, fd + bd - total)
+            count("md", lo + 1, fm[:-1] + p["md"][lo + 1 : lo + w] + bd[1:] - total)
+            count("id", lo, fi + p["id"][lo : lo + w] + bd - total)
+            em, ei = self.me[lo : lo + w, s] + bm, self.ie[lo : lo + w, s] + bi
             for e in self.dag.in_edges(v).tolist():
-                um, ui, _ = self.full(int(self.dag.src[e]), f[int(self.dag.src[e])])
-                w = self.prior[e] - total
-                kinds["mm"][1:n] = np.logaddexp(kinds["mm"][1:n], um[:-1] + w + p["mm"][1:n] + em[1:])
-                kinds["mi"][1:] = np.logaddexp(kinds["mi"][1:], um + w + p["mi"][1:] + ei[1:])
-                kinds["im"][:n] = np.logaddexp(kinds["im"][:n], ui[:n] + w + p["im"][:n] + em)
-                kinds["ii"] = np.logaddexp(kinds["ii"], ui + w + p["ii"] + ei)
-            if v in set(self.starts):
-                start[0] = np.logaddexp(start[0], p["mm"][0] + em[0] - total)
-                start[1] = np.logaddexp(start[1], p["mi"][0] + ei[0] - total)
-        start[2] = np.logaddexp.reduce(self.before_first() + begin) - total if n else NONE
+                u, share = int(self.dag.src[e]), self.prior[e] - total
+                um, ui, _ = f[u]
+                u_lo = int(self.lo[u])
+                for kind, x, at, y in (("mm", um, u_lo + 1, em), ("mi", um, u_lo + 1, ei), ("im", ui, u_lo, em), ("ii", ui, u_lo, ei)):
+                    first, after = max(lo, at), min(lo + w, at + len(x))
+                    if first < after:
+                        count(kind, first, x[first - at : after - at] + share + p[kind][first:after] + y[first - lo : after - lo])
+            if v in self.starts and lo == 0:
+                start[0] = np.logaddexp(start[0], self.p["mm"][0] + em[0] - total)
+                start[1] = np.logaddexp(start[1], self.p["mi"][0] + ei[0] - total)
+        start[2] = np.logaddexp.reduce(self.silent[1:-1] + begin) - total if n else NONE
         rows = [("emit", j, EMITTED[s], float(emit[j, s])) for j, s in zip(*np.nonzero(emit > NONE), strict=True)]
         rows += [(k, int(j), "", float(x[j])) for k, x in kinds.items() for j in np.flatnonzero(x > NONE)]
         return rows + [("start", i, "", float(x)) for i, x in enumerate(start)]
 
     def viterbi(self) -> dict:
-        """Best values of each node (full-length arrays are not kept beyond its window)."""
-        self._start, best = set(self.starts), {}
-        for v in self.dag.order:
-            fm, fi, fd = self.into(v, best, np.maximum)
-            if v in self._start:
-                fd = np.maximum(fd, self.before_first())
-            best[v] = self.store(v, *self.step(v, fm, fi, fd, np.maximum))
-        return best
+        """Best values of each node."""
+        return self.swept(np.maximum)
 
     def value(self, best: dict, v: int, state: int, j: int) -> float:
         k = j - int(self.lo[v])

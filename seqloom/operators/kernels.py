@@ -5,6 +5,7 @@ A graph is a set of numbered nodes 0..n-1 with edges (src, dst, weight).  Where
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
 import numpy as np
@@ -253,3 +254,24 @@ def rising_choice(slots: list[list[tuple[int, int, float]]], optimal: bool = Fal
         states.append(found)
     best = max((f for st in states for f in st), key=lambda f: f[0], default=None)
     return best[2] + [-1] * (len(slots) - len(best[2])) if best else [-1] * len(slots)
+
+
+def longest_rise(values: list[int | None]) -> list[int | None]:
+    """The values of a longest strictly rising choice in their places; all others None."""
+    ends: list[int] = []  # smallest last value of a rise of each length
+    at, back = [], [-1] * len(values)
+    for i, v in enumerate(values):
+        if v is None:
+            continue
+        k = bisect_left(ends, v)
+        back[i] = at[k - 1] if k else -1
+        if k == len(ends):
+            ends.append(v)
+            at.append(i)
+        else:
+            ends[k], at[k] = v, i
+    out: list[int | None] = [None] * len(values)
+    i = at[-1] if at else -1
+    while i >= 0:
+        out[i], i = values[i], back[i]
+    return out

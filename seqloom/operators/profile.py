@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 SCALE, POWER, LEAST, MOST = 1.7805e18, -3.2505, 100, 10000
 DIVERSE, SHORT, LONG = 0.9, 16, 32
 #: Symbols of a block that windows are cut from.
-BLOCK = 512
+BLOCK = 64
 
 
 def sequences(rows: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -62,9 +62,7 @@ def windows(seqs: DataFrame, k: int, *columns: str) -> DataFrame:
 
 def kmer_diversity(seqs: DataFrame, k: int = 32, sample: int | None = None, seed: int = 0) -> DataFrame:
     """total, distinct and their ratio (0 without k-mers); optionally of a seeded sample of sequences."""
-    if sample is not None:
-        seqs = seqs.orderBy(F.xxhash64(F.lit(seed), "seq_ord")).limit(sample)
-    per = windows(seqs, k).groupBy("fragment").agg(F.count(F.lit(1)).alias("n"))
+    per = windows(sampled(seqs, sample, seed), k).groupBy("fragment").agg(F.count(F.lit(1)).alias("n"))
     totals = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct_kmers"))
     ratio = F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.col("distinct_kmers") / F.col("total"))
     return totals.select("total", "distinct_kmers", ratio.alias("ratio"))
@@ -80,20 +78,35 @@ def kmer_set_sizes(seqs: DataFrame, k: int) -> DataFrame:
     return windows(seqs, k).groupBy("seq_ord").agg(F.count_distinct("fragment").alias("n_kmers"))
 
 
+def sampled(seqs: DataFrame, sample: int | None, seed: int = 0) -> DataFrame:
+    """All sequences, or a seeded sample of so many."""
+    return seqs if sample is None else seqs.orderBy(F.xxhash64(F.lit(seed), "seq_ord"), "seq_ord").limit(sample)
+
+
 def jaccard_pairs(seqs: DataFrame, k: int) -> DataFrame:
-    """a, b (a < b), jaccard of the k-mer sets of all pairs: through shared k-mers, the others filled in."""
+    """a, b (a < b), jaccard of the k-mer sets of all pairs that share a k-mer; all other pairs have 0 (or 1, if both are empty)."""
     sets = windows(seqs, k).select("seq_ord", "fragment").distinct()
     sizes = sets.groupBy("seq_ord").agg(F.count(F.lit(1)).alias("n"))
-    sizes = seqs.select("seq_ord").join(sizes, "seq_ord", "left").fillna(0, ["n"])
     a, b = sets.select(F.col("seq_ord").alias("a"), "fragment"), sets.select(F.col("seq_ord").alias("b"), "fragment")
     shared = a.join(b, "fragment").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
     x, y = sizes.select(F.col("seq_ord").alias("a"), F.col("n").alias("na")), sizes.select(F.col("seq_ord").alias("b"), F.col("n").alias("nb"))
-    pairs = x.join(y, F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").fillna(0, ["shared"])
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    both_empty = (F.col("na") == 0) & (F.col("nb") == 0)
-    return pairs.select("a", "b", F.when(both_empty, F.lit(1.0)).otherwise(F.col("shared") / union).alias("jaccard"))
-
-
-def mean_jaccard(seqs: DataFrame, k: int) -> DataFrame:
-    """Mean over all pairs; fewer than two sequences give 1."""
-    return jaccard_pairs(seqs, k).agg(F.coalesce(F.avg("jaccard"), F.lit(1.0)).alias("mean_jaccard"))
+    return shared.join(x, "a").join(y, "b").select("a", "b", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
+
+
+def mean_jaccard(seqs: DataFrame, k: int, sample: int | None = None, seed: int = 0) -> DataFrame:
+    """Mean over all pairs (of a seeded sample); fewer than two sequences give 1.  Pairs that share nothing are only counted."""
+    seqs = sampled(seqs, sample, seed)
+    n = seqs.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.length("seq"), F.lit(0)) < k).alias("empty"), F.lit(0.0).alias("total"))
+    shared = jaccard_pairs(seqs, k).agg(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("empty"), F.coalesce(F.sum("jaccard"), F.lit(0.0)).alias("total"))
+    both = n.unionByName(shared).agg(*[F.sum(c).alias(c) for c in ("n", "empty", "total")])  # two rows
+    pairs = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    return both.select(F.when(F.col("n") < 2, F.lit(1.0)).otherwise((F.col("total") + pairs("empty")) / pairs("n")).alias("mean_jaccard"))
+
+
+def mean_jaccard_of_samples(seqs: DataFrame, k: int, sample: int, samples: int) -> DataFrame:
+    """Mean of the means of several seeded samples."""
+    means = [mean_jaccard(seqs, k, sample, seed) for seed in range(samples)]
+    rows = means[0]
+    for more in means[1:]:
+        rows = rows.unionByName(more)
+    return rows.agg(F.avg("mean_jaccard").alias("mean_jaccard"))

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.symbols import ALIGNED, STANDS_FOR
@@ -119,11 +119,32 @@ def read_cells(spark, sf_dir) -> tuple[DataFrame, DataFrame, int]:
 def sparse_encode(spark, sf_dir):
     _, cells, n = read_cells(spark, sf_dir)
     mains = alignment.majority_mains(alignment.symbol_counts(cells, n).where("sym <> 0"))
-    rows = alignment.sparse_columns(cells, mains)
-    text = F.array_join(F.transform("minors", lambda m: F.concat(m["sym"].cast("string"), F.lit(":"), F.array_join(m["rows"], ","))), ";")
+    rows = alignment.sparse_columns(cells, mains).groupBy("col", "main").agg(F.array_sort(F.collect_list(F.struct("sym", "piece", "rows"))).alias("minors"))
+    listed = F.filter("minors", lambda m: m["rows"].isNotNull())
+    text = F.array_join(F.transform(listed, lambda m: F.concat(m["sym"].cast("string"), F.lit(":"), F.array_join(m["rows"], ","))), ";")
     return rows.select(F.col("col").cast("long").alias("col"), F.col("main").cast("long").alias("main"), text.alias("minors"))
 
 
+def sparse_round_trip(spark, sf_dir):
+    """Symbols of each column after the alignment went through sparse columns, which were based anew."""
+    rows, cells, n = read_cells(spark, sf_dir)
+    numbers = rows.select(F.col("seq_ord").alias("row"), (F.row_number().over(Window.orderBy("seq_ord")) - 1).cast("long").alias("number"))  # one row for each text
+    cells = cells.join(numbers, "row").select(F.col("number").alias("row"), "col", "sym")
+    first = alignment.sparse_columns(cells, cells.groupBy("col").agg(F.min("sym").alias("main")), n, step=16)
+    back = alignment.cells_of(alignment.rebased(first, n, step=16), n, step=16)
+    return back.groupBy(F.col("col").cast("long").alias("col"), F.col("sym").cast("long").alias("sym")).agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows"))
+
+
+def merged_alignment(spark, sf_dir):
+    """Alignments of five suppliers' lines to one profile, one below the other."""
+    line = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 5).alias("part"), F.col("l_partkey").alias("pos"), F.col("l_linenumber").cast("long").alias("line"), "l_orderkey")
+    parts = line.groupBy("part", "pos").agg((F.max("line") % 4).cast("long").alias("n_insert"))
+    own = parts.withColumn("match_col", F.sum(F.col("n_insert") + 1).over(Window.partitionBy("part").orderBy("pos")) - 1)
+    cells = line.join(own, ["part", "pos"]).where("line <= n_insert + 1").select("part", F.col("l_orderkey").alias("row"), (F.col("match_col") - F.col("line") + 1).alias("col"), F.col("line").alias("sym"))
+    sizes = line.groupBy("part").agg(F.max("l_orderkey").alias("n_rows"))
+    return alignment.merged_cells(cells, parts, sizes).groupBy("col", "sym").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("rows"))
+
+
 def fasta_render(spark, sf_dir):
     rows, cells, _ = read_cells(spark, sf_dir)
     n_cols = int(rows.agg(F.max(F.length("seq"))).first()[0] or 0)
@@ -150,9 +171,8 @@ def report_rank(spark, sf_dir):
 # ---- models over the graph of all benchmark sequences
 
 
-def final_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    graphs = written(align.build_graphs(reads(spark, sf_dir), FRAGMENT, READ_CHUNK))
-    return graphs, align.merge_graphs(graphs, written)
+def levels_of(spark, sf_dir) -> list[DataFrame]:
+    return align.merge_levels(written(align.build_graphs(reads(spark, sf_dir), FRAGMENT, READ_CHUNK)), written)
 
 
 def hmm_forward(spark, sf_dir):
@@ -160,45 +180,62 @@ def hmm_forward(spark, sf_dir):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         param = int(rows["param_id"].iloc[0])
-        g, _ = consensus.symbol_graph(align.unpacked(rows["graph"].iloc[0])[0])
+        g, _ = consensus.symbol_graph(align.graph_of(rows))
         ref = consensus.consensus(g, consensus.GRID[param][0])
         emission = consensus.smoothed_emission(ref.frequency, consensus.GRID[param][1])
         model = hmm.Model(g, ref, consensus.start_parameters(emission, ref.inserts))
         return pd.DataFrame({"param_id": [param], "forward": [model.forward()[1]], "backward": [model.backward()[1]]})
 
-    _, final = final_graph(spark, sf_dir)
-    grid = final.withColumn("param_id", F.explode(F.array(F.lit(0), F.lit(1))))
+    grid = align.over_grid(levels_of(spark, sf_dir)[-1])
     rows = grid.groupBy("graph_id", "param_id").applyInPandas(run, "param_id long, forward double, backward double")
     return rows.select("param_id", F.round("forward", 6).alias("forward"), F.round("backward", 6).alias("backward"))
 
 
 def hmm_em(spark, sf_dir):
     """Expected counts of one round, as probabilities summed over positions."""
-    _, final = final_graph(spark, sf_dir)
-    rows = align.expected_counts(final).groupBy(F.col("param_id").cast("long").alias("param_id"), "kind", "symbol")
+    rows = align.expected_counts(levels_of(spark, sf_dir)[-1]).where("kind NOT IN ('freq', 'hot')")
+    rows = rows.groupBy(F.col("param_id").cast("long").alias("param_id"), "kind", "symbol")
     return rows.agg(F.round(F.sum(F.exp("logp")), 6).alias("expected"))
 
 
-def trained_states(spark, sf_dir) -> DataFrame:
-    graphs, final = final_graph(spark, sf_dir)
-    counts: dict[int, dict] = {}
-    for r in align.expected_counts(final).collect():  # as long as the profile
-        counts.setdefault(r["param_id"], {})[r["kind"], r["pos"], r["symbol"]] = r["logp"]
-    return align.decoded(graphs, {p: align.trained(final, p, counts[p]) for p in counts})
+def hmm_parameters(spark, sf_dir):
+    """Parameters after one round, by position."""
+    rows = align.trained(align.expected_counts(levels_of(spark, sf_dir)[-1]))
+    return rows.select(F.col("param_id").cast("long").alias("param_id"), "kind", F.col("pos").cast("long").alias("pos"), "symbol", F.round(F.greatest("logp", F.lit(-1e9)), 6).alias("logp"))
 
 
 def viterbi(spark, sf_dir):
     """Hidden state of every symbol."""
-    rows = trained_states(spark, sf_dir)
+    levels = levels_of(spark, sf_dir)
+    models = align.models_of(align.trained(align.expected_counts(levels[-1])))
+    level = align.decoding_level(READ_CHUNK, len(levels))
+    rows = align.decoded(levels[level], align.paths_at(levels, level), models)
     return rows.select(*[F.col(c).cast("long").alias(c) for c in ("param_id", "seq_ord", "pos", "state", "run")], "symbol")
 
 
+def graph_paths(spark, sf_dir):
+    """Length, and weight of the first and last node, of every sequence's path on the final graph: nothing is lost on the way up."""
+    levels = levels_of(spark, sf_dir)
+    paths = align.paths_at(levels, len(levels) - 1)
+    nodes = levels[-1].where("kind = 'node'").select(F.col("a").cast("int").alias("node"), "fragment")
+    steps = paths.select("seq_ord", F.posexplode("path").alias("pos", "node")).join(nodes, "node")
+    spelt = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "fragment"))), lambda x: F.when(x["pos"] == 0, x["fragment"]).otherwise(F.substring(x["fragment"], FRAGMENT, 1))), "")
+    return steps.groupBy("seq_ord").agg(F.count(F.lit(1)).alias("n"), F.md5(spelt.cast("binary")).alias("md5"))
+
+
 def align_end_to_end(spark, sf_dir):
-    return align.aligned(reads(spark, sf_dir), FRAGMENT, READ_CHUNK, written)[1]
+    return align.aligned(reads(spark, sf_dir), FRAGMENT, READ_CHUNK, written).rows()
+
+
+def align_letters(spark, sf_dir):
+    """The aligned rows without their gaps are the sequences."""
+    rows = align.aligned(reads(spark, sf_dir), FRAGMENT, READ_CHUNK, written).rows()
+    whole = F.translate("aligned", "-", "")
+    return rows.select("row", F.length(whole).cast("long").alias("len"), F.md5(whole.cast("binary")).alias("md5"))
 
 
 def align_report(spark, sf_dir):
-    rows = align.aligned(reads(spark, sf_dir), FRAGMENT, READ_CHUNK, written)[0]
+    rows = align.aligned(reads(spark, sf_dir), FRAGMENT, READ_CHUNK, written).report
     return rows.select(F.col("param_id").cast("long").alias("param_id"), F.round("sp", 6).alias("sp"), F.round("entropy", 5).alias("entropy"), F.col("length").cast("long").alias("length"), "best_sp", "best_entropy")
 
 
@@ -270,7 +307,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         hmm_exact, hmm_exact_counts, viterbi_exact, column_counts, sp_score, entropy, alignment_score, majority_rebase, profile_columns, consensus_seq, emission_smooth, degenerate_emission, hmm_init, hyper_grid,
-        column_layout, cell_place, sparse_encode, fasta_render, alignment_merge, row_offsets, report_rank, hmm_forward, hmm_em, viterbi, align_end_to_end, align_report,
+        column_layout, cell_place, sparse_encode, sparse_round_trip, merged_alignment, fasta_render, alignment_merge, row_offsets, report_rank, hmm_forward, hmm_em, hmm_parameters, viterbi, graph_paths, align_end_to_end, align_letters, align_report,
     )
 }
 
@@ -329,6 +366,8 @@ w AS (SELECT name, seq, steps, lp, exp(lp - max(lp) OVER n) / sum(exp(lp)) OVER
 k AS (SELECT name, seq, p, lp, unnest(steps, recursive := true) FROM w)"""
 
 ORACLES = {
+    "graph_paths": f"WITH {R} SELECT seq_ord, (length(seq) - {FRAGMENT - 1})::bigint AS n, md5(seq) AS md5 FROM s WHERE length(seq) >= {FRAGMENT}",
+    "align_letters": f"WITH {R} SELECT seq_ord AS row, length(seq)::bigint AS len, md5(seq) AS md5 FROM s WHERE length(seq) >= {FRAGMENT}",
     "hmm_exact": f"""WITH RECURSIVE {PATHS}, t AS (SELECT name, ln(sum(exp(lp))) AS total, max(lp) AS best FROM d GROUP BY name)
 SELECT name, round(total, 8) AS forward, round(total, 8) AS backward, round(best, 8) AS best FROM t""",
     "hmm_exact_counts": f"""WITH RECURSIVE {PATHS}, a AS (
@@ -363,6 +402,14 @@ FROM t JOIN l USING (pos) WHERE state = 0 OR n_insert > 0""",
 g AS (SELECT col, sym, count(*) AS n, string_agg(row::varchar, ',' ORDER BY row) AS r FROM y GROUP BY col, sym),
 m AS (SELECT col, sym AS main FROM g QUALIFY row_number() OVER (PARTITION BY col ORDER BY n DESC, sym) = 1)
 SELECT col, main::bigint AS main, coalesce(string_agg(sym || ':' || r, ';' ORDER BY sym) FILTER (sym <> main), '') AS minors FROM g JOIN m USING (col) GROUP BY col, main""",
+    "sparse_round_trip": f"""WITH {R}, {CELLS}, o AS (SELECT seq_ord AS row, row_number() OVER (ORDER BY seq_ord) - 1 AS number FROM s)
+SELECT col::bigint AS col, (instr('{ALIGNED}', symbol) - 1)::bigint AS sym, count(*)::bigint AS n, sum(number)::bigint AS rows FROM c JOIN o USING (row) GROUP BY ALL""",
+    "merged_alignment": """WITH i AS (SELECT l_suppkey % 5 AS part, l_partkey AS pos, l_linenumber AS line, l_orderkey FROM lineitem),
+p AS (SELECT part, pos, max(line) % 4 AS own FROM i GROUP BY ALL), w AS (SELECT pos, max(own) AS n FROM p GROUP BY pos),
+l AS (SELECT pos, sum(n + 1) OVER (ORDER BY pos) - 1 AS match_col FROM w),
+z AS (SELECT part, coalesce(sum(m) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_row FROM (SELECT part, max(l_orderkey) AS m FROM i GROUP BY part))
+SELECT (match_col - line + 1)::bigint AS col, line::bigint AS sym, count(*)::bigint AS n, sum(l_orderkey + first_row)::bigint AS rows
+FROM i JOIN p USING (part, pos) JOIN l USING (pos) JOIN z USING (part) WHERE line <= own + 1 GROUP BY ALL""",
     "fasta_render": f"WITH {R} SELECT seq_ord AS row, rpad(seq, (SELECT max(length(seq)) FROM s)::int, '-') AS aligned FROM s",
     "alignment_merge": """WITH p AS (SELECT l_suppkey % 5 AS part, l_partkey AS pos, (max(l_linenumber) % 4)::bigint AS own FROM lineitem GROUP BY ALL),
 w AS (SELECT pos, max(own) AS n FROM p GROUP BY pos),

@@ -57,6 +57,15 @@ def fasta_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("seq_id").cast("long").alias("seq_ord"), F.length("seq").cast("long").alias("len"), F.md5(F.col("seq").cast("binary")).alias("md5"))
 
 
+def fasta_records(spark, sf_dir):
+    """Every nation and region name as a record in a folder of its own, read back by a glob."""
+    path = shared_path(spark, "records")
+    names = table(spark, sf_dir, "nation").select(F.col("n_name").alias("name")).unionByName(table(spark, sf_dir, "region").select(F.col("r_name").alias("name")))
+    rows = names.select(F.regexp_replace("name", " ", "_").alias("seq_id"), symbols.as_sequence(F.col("name")).alias("seq"))
+    write_fasta(rows.withColumn("record", F.col("seq_id")), path, by="record")
+    return read_fasta(spark, f"{path}/record=*/*.txt").select("header", "seq_id", "seq")
+
+
 def seq_lengths(spark, sf_dir):
     return seqs(spark, sf_dir).select("seq_ord", F.length("seq").cast("long").alias("len"))
 
@@ -168,7 +177,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fasta_round_trip, seq_lengths, avg_length_chunk_size, chunk_assign, chunk_summary, kmer_counts, kmer_diversity, fragment_length_choice, kmer_set_size,
-        jaccard_pairs, mean_jaccard, unambiguous_filter, pack_unpack, symbol_codes, islands_strict, islands_diagonal, null_runs, interval_union,
+        fasta_records, jaccard_pairs, mean_jaccard, unambiguous_filter, pack_unpack, symbol_codes, islands_strict, islands_diagonal, null_runs, interval_union,
     )
 }
 
@@ -176,7 +185,7 @@ DIVERSITY = f"WITH {S}, {window_sql(32)}, t AS (SELECT count(*)::bigint AS total
 PAIRS = f"""WITH {R}, {window_sql(6)}, d AS (SELECT DISTINCT seq_ord, fragment FROM w),
 n AS (SELECT s.seq_ord, count(fragment) AS n FROM s LEFT JOIN d USING (seq_ord) GROUP BY ALL),
 c AS (SELECT x.seq_ord AS a, y.seq_ord AS b, count(*) AS shared FROM d x JOIN d y ON x.fragment = y.fragment AND x.seq_ord < y.seq_ord GROUP BY ALL),
-j AS (SELECT x.seq_ord AS a, y.seq_ord AS b, CASE WHEN x.n + y.n = 0 THEN 1.0 ELSE coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)) END AS jaccard
+j AS (SELECT x.seq_ord AS a, y.seq_ord AS b, CASE WHEN x.n + y.n = 0 THEN 1.0 ELSE coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)) END AS jaccard, shared
   FROM n x JOIN n y ON x.seq_ord < y.seq_ord LEFT JOIN c ON c.a = x.seq_ord AND c.b = y.seq_ord)"""
 ORACLES = {
     "fasta_round_trip": f"WITH {S} SELECT seq_ord, length(seq)::bigint AS len, md5(seq) AS md5 FROM s",
@@ -192,7 +201,9 @@ SELECT n, count(*)::bigint AS n_kmers, min(fragment) AS first_kmer FROM c GROUP
     "kmer_diversity": f"{DIVERSITY} SELECT total, distinct_kmers, round(CASE WHEN total = 0 THEN 0.0 ELSE distinct_kmers / total END, 6) AS ratio FROM t",
     "fragment_length_choice": f"{DIVERSITY} SELECT CASE WHEN total > 0 AND distinct_kmers / total >= 0.9 THEN 16 ELSE 32 END::bigint AS fragment_length FROM t",
     "kmer_set_size": f"WITH {S}, {window_sql(21)} SELECT seq_ord, count(DISTINCT fragment)::bigint AS n_kmers FROM w GROUP BY seq_ord",
-    "jaccard_pairs": f"{PAIRS} SELECT a, b, round(jaccard, 9) AS jaccard FROM j",
+    "fasta_records": f"""WITH n AS (SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region)
+SELECT replace(name, ' ', '_') AS header, replace(name, ' ', '_') AS seq_id, {sequence_expression('name')} AS seq FROM n""",
+    "jaccard_pairs": f"{PAIRS} SELECT a, b, round(jaccard, 9) AS jaccard FROM j WHERE shared > 0",
     "mean_jaccard": f"{PAIRS} SELECT round(coalesce(avg(jaccard), 1), 9) AS mean_jaccard FROM j",
     "unambiguous_filter": """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents)
 SELECT doc_id, count(*)::bigint AS n_words, count_if(regexp_full_match(word, '[ATCGatcg]*'))::bigint AS n_unambiguous FROM w GROUP BY doc_id""",

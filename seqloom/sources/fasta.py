@@ -11,7 +11,7 @@ from seqloom.functions.symbols import cleaned
 
 
 def read_fasta(spark: SparkSession, path: str, clean: bool = False) -> DataFrame:
-    """header (without '>'), seq_id (its first word), seq of each record; blank lines are skipped.
+    """header (without '>'), seq_id (its first word), seq of each record of a file, folder or glob; blank lines are skipped.
 
     Records are split by the text reader itself, so large files are read in parallel.  ``clean`` gives upper case and U as T.
     """
@@ -23,13 +23,13 @@ def read_fasta(spark: SparkSession, path: str, clean: bool = False) -> DataFrame
     return rows.withColumn("seq", cleaned(F.col("seq"))) if clean else rows
 
 
-def write_fasta(rows: DataFrame, path: str, id_column: str = "seq_id", seq_column: str = "seq", by: str | None = None) -> None:
+def write_fasta(rows: DataFrame, path: str, id_column: str = "seq_id", seq_column: str = "seq", by: str | None = None, mode: str = "errorifexists") -> None:
     """One record for each row; with ``by``, one folder for each value of that column (chunks, or single records)."""
     record = F.concat(F.lit(">"), F.col(id_column).cast("string"), F.lit("\n"), F.col(seq_column)).alias("value")
     if by is None:
-        rows.select(record).write.text(checked_path(path))
+        rows.select(record).write.mode(mode).text(checked_path(path))
     else:
-        rows.select(record, by).repartition(by).write.partitionBy(by).text(checked_path(path))
+        rows.select(record, by).repartition(by).write.mode(mode).partitionBy(by).text(checked_path(path))
 
 
 def checked_path(path: str) -> str:

@@ -159,7 +159,33 @@ def test_reference_maps_back_on_its_graph():
     symbols, at = consensus.symbol_graph(g)
     nodes = align.mapped_reference(g, at, seed)
     assert nodes[:7] == [None] * 7 and all(symbols.fragment[v] == c for v, c in zip(nodes, seed, strict=True) if v is not None)
-    assert align.unpacked(align.packed(g, [7]))[1] == [7]
+    back = align.graph_of(align.graph_rows(g, 3))
+    assert (back.fragment, back.weight, back.headtail, back.level, back.edges) == (g.fragment, g.weight, g.headtail, g.level, g.edges) and back.backbone == g.backbone
+
+
+def test_longest_rise():
+    assert kernels.longest_rise([3, None, 1, 2, 5, 4, None, 6]) == [None, None, 1, 2, None, 4, None, 6] and kernels.longest_rise([None]) == [None]
+
+
+def test_training_leaves_out_degenerate_symbols():
+    g, _ = consensus.symbol_graph(build.built(["ATCGATCG", "ATCNATCG", "ATCGATCG"], 4))
+    ref = consensus.consensus(g)
+    p = consensus.start_parameters(consensus.smoothed_emission(ref.frequency, -3), ref.inserts)
+    found = {s for k, _, s, _ in hmm.Model(g, ref, p, clean_only=True).expectations() if k == "emit"}
+    assert found == set("ATCG") and "N" in {s for k, _, s, _ in hmm.Model(g, ref, p).expectations() if k == "emit"}
+    only, _ = consensus.symbol_graph(build.built(["ATNGATCG"], 4))  # no clean path: the whole graph stays
+    assert "N" in {s for k, _, s, _ in hmm.Model(only, consensus.Consensus([None] * 3, np.full((3, 4), 0.25), []), consensus.start_parameters(np.full((3, 4), 0.25)), clean_only=True).expectations() if k == "emit"}
+
+
+def test_merged_paths_spell_their_sequences():
+    rnd = random.Random(9)
+    seed = "".join(rnd.choice("ATCG") for _ in range(120))
+    seqs = [mutated(seed, rnd) for _ in range(8)]
+    a, b = build.built(seqs[:4], 12), build.built(seqs[4:], 12)
+    g, on_a, on_b = build.merged_graphs(a, b)
+    for part, to in ((a, on_a), (b, on_b)):
+        for p in part.paths:
+            assert all((to[x], to[y]) in g.edges for x, y in zip(p, p[1:], strict=False)) and [g.fragment[to[v]] for v in p] == [part.fragment[v] for v in p]
 
 
 def test_paths_and_reports():

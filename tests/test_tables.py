@@ -1,16 +1,19 @@
 """Hand-worked cases for the relational operators, and whole queries against DuckDB on the smallest tables."""
 
+import math
 import random
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
 from seqloom.operators import alignment, graph, islands, profile
-from seqloom.plans import align, catalogue
-from seqloom.plans.storage import shared_path, written
+from seqloom.__main__ import main
+from seqloom.plans import align, catalogue, run
+from seqloom.plans.storage import load_alignment, load_graphs, shared_path, written
 from seqloom.shipping import ship
 from seqloom.sources.fasta import read_fasta, write_fasta
 from tests.test_kernels import mutated
@@ -20,7 +23,7 @@ CHECKED = [
     "seq_lengths", "avg_length_chunk_size", "chunk_assign", "kmer_diversity", "jaccard_pairs", "unambiguous_filter", "pack_unpack", "null_runs", "interval_union",
     "chain_nodes", "degrees", "fragment_reduce", "coords_bwd", "reachability", "sp_score", "majority_rebase", "hmm_init", "column_layout", "cell_place",
     "sparse_encode", "fasta_render", "alignment_merge", "report_rank", "islands_components", "unitigs", "heaviest_path", "longest_path_nodes", "state_range",
-    "hmm_exact", "hmm_exact_counts", "viterbi_exact",
+    "hmm_exact", "hmm_exact_counts", "viterbi_exact", "fasta_records", "mean_jaccard", "sparse_round_trip", "merged_alignment", "graph_paths",
 ]
 
 
@@ -112,14 +115,79 @@ def test_alignment_of_mutated_copies(spark):
     rnd = random.Random(7)
     seed = "".join(rnd.choice("ATCG") for _ in range(70))
     seqs = [(i, mutated(seed, rnd)) for i in range(9)]
-    report, drawn = align.aligned(spark.createDataFrame(seqs, "seq_ord long, seq string"), 8, 5, written)
-    found = dict(drawn.collect())
+    result = align.aligned(spark.createDataFrame(seqs, "seq_ord long, seq string"), 8, 5, written)
+    report, rows_of = result.report, [tuple(r) for r in result.rows(reference=True).collect()]
+    assert [i for i, _ in rows_of] == [None, *range(9)] and set(rows_of[0][1]) <= set("ATCG-")
+    found = dict(rows_of[1:])
     assert {i: r.replace("-", "") for i, r in found.items()} == dict(seqs)
     assert len({len(r) for r in found.values()}) == 1
     assert not any(all(r[c] == "-" for r in found.values()) for c in range(len(found[0])))
     assert report.where("best_entropy").count() == report.where("best_sp").count() == 1
 
 
+def test_log_sum_exp_far_below_zero(spark):
+    df = spark.createDataFrame([(1, None, -800.0), (1, None, -800.0), (2, "x", float("-inf")), (3, "", 700.0), (3, "", -800.0)], "a int, b string, logp double")
+    found = {r["a"]: r["logp"] for r in symbols.log_sum_exp(df, ["a", "b"], "logp").collect()}
+    assert found[1] == pytest.approx(-800 + math.log(2)) and found[2] == float("-inf") and found[3] == pytest.approx(700)
+
+
+def test_training_on_rare_states(spark):
+    ship(spark)
+    rows = [(p, "freq", j, b, math.log(0.25)) for p in (0, 1) for j in range(3) for b in "ATCG"] + [(p, "occ_m", j, "", -800.0) for p in (0, 1) for j in range(3)]
+    rows += [(p, "start", i, "", -1.0) for p in (0, 1) for i in range(3)] + [(0, "hot", 1, "2", 0.0)]
+    models = align.models_of(align.trained(spark.createDataFrame(rows, align.COUNTS)))
+    assert sorted(models) == [0, 1] and all(len(r) == 3 and not any(np.isnan(x).any() for x in p.values()) for r, p in models.values())
+
+
+def test_sparse_columns_keep_gaps(spark):
+    rnd = random.Random(11)
+    dense = [[rnd.choice([0, 0, 1, 2, 3]) for _ in range(9)] for _ in range(23)]
+    dense[5] = [0] * 9
+    cells = spark.createDataFrame([(i, c, s) for i, r in enumerate(dense) for c, s in enumerate(r) if s], "row long, col int, sym int")
+    counts = alignment.symbol_counts(cells, 23)
+    columns = alignment.sparse_columns(cells, alignment.majority_mains(counts), 23, step=4).cache()
+    assert rows(alignment.cells_of(columns, 23, step=4)) == rows(cells) and rows(alignment.counts_of(columns, 23)) == rows(counts)
+    assert max(len(r["rows"]) for r in columns.collect() if r["rows"]) <= 4
+    other = alignment.sparse_columns(cells, counts.groupBy("col").agg(F.min("sym").alias("main")), 23, step=4)
+    assert rows(alignment.rebased(other, 23, step=4).groupBy("col", "main").count().select("col", "main")) == rows(alignment.majority_mains(counts))
+
+
+def test_samples_of_similarity(spark):
+    seqs = spark.createDataFrame([(i, s) for i, s in enumerate(["ATCGAT", "ATCGAA", "GGGGGG", "A", "", "C"])], "seq_ord long, seq string")
+    sets = [{s[i : i + 3] for i in range(len(s) - 2)} for s in ("ATCGAT", "ATCGAA", "GGGGGG", "A", "", "C")]
+    values = [1.0 if not x | y else len(x & y) / len(x | y) for n, x in enumerate(sets) for y in sets[:n]]
+    assert profile.mean_jaccard(seqs, 3).first()[0] == pytest.approx(sum(values) / len(values))
+    assert 0 <= profile.mean_jaccard_of_samples(seqs, 3, 4, 2).first()[0] <= 1 and profile.mean_jaccard(seqs, 3, sample=1).first()[0] == 1
+    assert profile.kmer_diversity(seqs, 3, sample=2).first()["total"] <= 8
+
+
+def test_a_file_is_aligned_into_a_folder(spark, tmp_path):
+    ship(spark)
+    rnd = random.Random(12)
+    seed = "".join(rnd.choice("ATCG") for _ in range(60))
+    seqs = {f"s{i}": mutated(seed, rnd) for i in range(7)}
+    (tmp_path / "in.fasta").write_text("".join(f">{n} x\n{s}\n" for n, s in seqs.items()))
+    target = f"file://{tmp_path}/out"
+    main(["-i", f"file://{tmp_path}/in.fasta", "-o", target, "-f", "8", "-c", "3"])
+    drawn = {r["seq_id"]: r["seq"] for r in read_fasta(spark, f"{target}/align_result.fasta").collect()}
+    assert {n: s.replace("-", "") for n, s in drawn.items()} == seqs and len({len(s) for s in drawn.values()}) == 1
+    columns, names = load_alignment(spark, f"{target}/alignment")
+    letters = {n: {} for n in seqs}
+    of = {r["number"]: r["seq_id"] for r in names.collect()}
+    for r in alignment.cells_of(columns, 7).collect():
+        letters[of[r["row"]]][r["col"]] = symbols.ALIGNED[r["sym"]]
+    assert all("".join(letters[n].get(c, "-") for c in range(len(s))) == s for n, s in drawn.items())
+    report = (tmp_path / "out" / "report.txt").glob("part-*")
+    assert "entropy" in next(report).read_text().splitlines()[0]
+    best = spark.read.parquet(f"{target}/parameters").select("param_id").distinct().count()
+    assert best == 2 and run.stored_scores(spark, target).first()["n_cols"] == len(next(iter(drawn.values())))
+    assert load_graphs(spark, f"{target}/graphs", 0, ("node",), [2]).select("graph_id").distinct().collect() == [(2,)]
+    main(["-i", f"file://{tmp_path}/in.fasta", "-o", f"{target}2", "-c", "3", "-b"])
+    assert load_graphs(spark, f"{target}2/graphs", 2).count() > 0 and not (tmp_path / "out2" / "alignment").exists()
+    assert run.sizes(spark.createDataFrame([(1, "ATCG" * 30)], "seq_ord long, seq string")) == (32, 10000)
+    assert run.sizes(None, large=True) == (32, 5000) and align.decoding_level(5000, 9) == 4 and align.decoding_level(100, 3) == 2
+
+
 @pytest.mark.parametrize("name", CHECKED)
 def test_query_against_duckdb(spark, name):
     if not Path(SMALLEST).exists():
