@@ -63,6 +63,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What this Python worker remembers for one operator, made anew when another operator had its turn.
+
+    Workers serve many operators one after the other; so a worker never holds the memories of several.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def word_count(text: Column) -> Column:
     """Number of words as BIGINT; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

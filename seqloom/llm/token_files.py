@@ -15,112 +15,145 @@ they need; columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import fresh_dir, materialise, table
+from .common import fresh_dir, held, materialise, table
 
 #: Tokens of a sequence, sequences of a batch, text bytes of a file.
 LENGTH, BATCH, FILE_BYTES = 2048, 128, 24 << 20
-MEMO = 400_000
+#: Remembered words of a Python worker.
+MEMO = 600_000
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
 class Encoder:
-    """The library's ids of whole texts, remembered by space-separated piece.
+    """The library's ids of whole texts, word by word; ids of words seen before are remembered.
 
-    The normalizer turns all white space into spaces, which the splitter drops, so a text's ids are those of its pieces
-    at spaces and line ends.  Pieces of plain letters, digits and marks are cut further as the splitter cuts them, and
-    new ones encoded many at a time; word ends in the ids tell them apart.  Other pieces go to the library one by one.
+    Works for files whose normalizer lower-cases and turns white space into spaces, whose splitter is SPLIT without white
+    space, and whose words end in END; for any other file all texts go to the library.  Texts of settled characters are
+    cut as the splitter cuts them, and new words encoded many at a time; word ends in the ids tell them apart.  Other texts
+    are cut at spaces and line ends, and their pieces remembered.
     """
 
-    #: Fixed value of the format: its splitting pattern.
+    #: Fixed values of the format: its splitting pattern, and the mark of a word's end.
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     END = "</w>"
-    #: Marks that stand alone after a word; the first letter beyond those that lower-case to one letter.
-    MARKS, LAST = frozenset(".,;:!?"), "\u017f"
-    #: ASCII and the letters beside it that lower-case to one letter.
-    SETTLED = regex.compile("[!-;=-~À-įı-ž]+")
+    #: ASCII but for the sign that starts special tokens, and the letters and signs beside it that lower-case to one character.
+    SETTLED = re.compile("[\t\n\r !-;=-~À-įı-ž]*")
+    #: The splitting pattern for settled, lower-cased texts.
+    WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ž]+|[0-9]|[^\\s0-9a-zß-öø-ž]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # the same merges for words that are settled, lower-cased and cut already
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = normalizers.Sequence([])
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.library.get_vocab_size(with_added_tokens=True)
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.ends = np.zeros(self.size, bool)
         for token, i in self.library.get_vocab(with_added_tokens=False).items():
             self.ends[i] = token.endswith(self.END)
-        self.split = regex.compile(self.SPLIT).findall
-        self.pieces: dict[str, bytes] = {"": b""}
+        self.plain = self.is_plain(json.loads(self.library.to_str()))
+        self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
+    def is_plain(self, spec: dict) -> bool:
+        """Whether the file has the form that words can be encoded alone for."""
+
+        def steps(part: dict | None, inner: str) -> list[dict]:
+            return [] if part is None else part.get(inner) or [part]
+
+        normal = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("content")) for x in steps(spec["normalizer"], "normalizers")]
+        split = [(x["type"], x.get("pattern", {}).get("Regex"), x.get("behavior"), x.get("invert")) for x in steps(spec["pre_tokenizer"], "pretokenizers")]
+        return (
+            normal == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+            and split and split[0] == ("Split", self.SPLIT, "Removed", True) and [x[0] for x in split[1:]] in ([], ["ByteLevel"])
+            and spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix") == self.END
+        )
+
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode pieces that aren't remembered."""
-        if len(self.pieces) > MEMO:
-            self.pieces = {"": b""}
-        if len(self.words) > MEMO:
-            self.words = {}
-        plain, cut = [], {}
-        for p in pieces - self.pieces.keys():
-            word = p if p.isalpha() else p[:-1]  # most pieces are a word, or a word and one mark
-            if word.isalpha() and max(word) < self.LAST and "\u0130" not in word and (word is p or p[-1] in self.MARKS):
-                plain.append((p, word.lower(), "" if word is p else p[-1]))
-            elif self.SETTLED.fullmatch(p):
-                cut[p] = self.split(p.lower())
-            else:
-                self.pieces[p] = self.whole(p)
-        new = list({w for words in cut.values() for w in words}.union((x[1] for x in plain), self.MARKS) - self.words.keys())
-        for at in range(0, len(new), 1000):
-            some = new[at : at + 1000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, self.type)
-            ends = np.flatnonzero(self.ends[ids]) + 1
+    def learn(self, new: list[str]) -> None:
+        """Encode words that aren't remembered, many at a time."""
+        parts = [new[at : at + 1000] for at in range(0, len(new), 1000)]
+        for some, found in zip(parts, self.merges.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.type)
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.type.itemsize).tolist()
             if len(ends) == len(some):
-                blob, width, start = ids.tobytes(), self.type.itemsize, 0
-                for w, end in zip(some, ends.tolist(), strict=True):
-                    self.words[w] = blob[start * width : end * width]
-                    start = end
+                blob = ids.tobytes()
+                self.words.update(zip(some, map(blob.__getitem__, map(slice, [0, *ends[:-1]], ends)), strict=True))
             else:
                 self.words |= {w: self.whole(w) for w in some}
-        own = self.words
-        for p, word, mark in plain:
-            self.pieces[p] = own[word] + own[mark] if mark else own[word]
-        for p, words in cut.items():
-            self.pieces[p] = b"".join(map(self.words.__getitem__, words))
+
+    def piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            if len(self.pieces) > MEMO:
+                self.pieces.clear()
+            found = self.pieces[piece] = self.whole(piece) if piece else b""
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        self.learn(set().union(*cut))
-        return [b"".join(map(self.pieces.__getitem__, pieces)) for pieces in cut]
+        if not self.plain:
+            return [self.whole(t) for t in texts]
+        if len(self.words) > MEMO:
+            self.words.clear()
+        settled, find, get = self.SETTLED.fullmatch, self.WORDS.findall, self.words.get
+        out, waiting, new = [], [], {}
+        for t in texts:
+            if settled(t):
+                words = find(t.lower())
+                found = list(map(get, words))
+                if places := [i for i, x in enumerate(found) if x is None]:
+                    missing = [words[i] for i in places]
+                    new.update(dict.fromkeys(missing))
+                    waiting.append((found, places, missing))
+            else:
+                found = list(map(self.piece, t.replace("\n", " ").split(" ")))
+            out.append(found)
+        self.learn(list(new))
+        for found, places, missing in waiting:
+            for i, w in zip(places, missing, strict=True):
+                found[i] = get(w)
+        return list(map(b"".join, out))
 
 
-@lru_cache(1)
 def encoder_of(path: str) -> Encoder:
     """One encoder for each Python worker and file; what it remembers serves the worker's next tasks."""
-    return Encoder(path)
+    return held(("tokens", path), lambda: Encoder(path))
+
+
+def filesystem(uri: str) -> tuple[pa.fs.FileSystem, str]:
+    """File system and path of a URI; Hadoop's names of object stores are those of Arrow."""
+    for ours, theirs in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://")):
+        if uri.startswith(ours):
+            uri = theirs + uri[len(ours) :]
+    return pa.fs.FileSystem.from_uri(uri)
 
 
 class FileWriter:
     """Appends documents' ids to one file of sequences and, on close, their places to the file beside it."""
 
     def __init__(self, base: str, kind: np.dtype, length: int):
-        self.fs, self.path = pa.fs.FileSystem.from_uri(base)
+        self.fs, self.path = filesystem(base)
         self.fs.create_dir(os.path.dirname(self.path), recursive=True)
         self.kind, self.length = kind, length
         ids = pa.list_(pa.from_numpy_dtype(kind), length)
@@ -167,7 +200,7 @@ class FileReader:
     """Random access to the tokens and documents of one file."""
 
     def __init__(self, base: str):
-        fs, path = pa.fs.FileSystem.from_uri(base)
+        fs, path = filesystem(base)
         local = isinstance(fs, pa.fs.LocalFileSystem)
         of = (lambda p: pa.memory_map(p)) if local else fs.open_input_file
         self.file = pa.ipc.open_file(of(f"{path}.arrow"))

@@ -236,8 +236,15 @@ def test_token_pieces_match_the_library():
     library, own = Tokenizer.from_file(path), token_files.Encoder(path)
     rnd = random.Random(3)
     texts = ["", "x" * 3000, "WE'LL don't. İ ΣΑΣ ſ n't's <|endoftext|>y <|start"] + ["".join(rnd.choice("abÉ é\n'ſ\tz1.,<|> ́日") for _ in range(150)) for _ in range(200)]
-    for t, blob in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(blob, own.type).tolist() == library.encode(t, add_special_tokens=False).ids
+    texts += ["".join(rnd.choice("aBÉ éœÿŸžſ\n'ſ\tŉz1.,&×÷ªŁ´-") for _ in range(150)) for _ in range(200)] + ["it's 'S 'll''ve $'s 12.5%\r\n..." + c for c in map(chr, range(0x20, 0x180))]
+    assert own.plain
+    for _ in range(2):
+        for t, blob in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(blob, own.type).tolist() == library.encode(t, add_special_tokens=False).ids
+    other = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))  # another form: all texts go to the library
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for t, blob in zip(texts[:50], other.encode(texts[:50]), strict=True):
+        assert np.frombuffer(blob, other.type).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
 def test_quality_rules(spark, edge_docs, labels):
