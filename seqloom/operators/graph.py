@@ -10,7 +10,7 @@ Merging nodes is one group-by, re-keying edges two joins with the mapping; ties
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.profile import windows
@@ -200,3 +200,77 @@ def same_fragment_pairs(nodes: DataFrame, least_weight: float, distance: int) ->
     b = rows.select("graph_id", "fragment", F.col("node_id").alias("b"), F.col("coord").alias("cb"), F.col("weight").alias("wb"), bucket.alias("bucket"))
     near = a.join(b, ["graph_id", "fragment", "bucket"]).where((F.col("ca") <= F.col("cb")) & (F.col("a") != F.col("b")) & (F.col("cb") - F.col("ca") < distance))
     return near.where((F.col("ca") < F.col("cb")) | (F.col("a") < F.col("b"))).where(F.col("wa") + F.col("wb") > 0.5 * F.col("total")).select("graph_id", "a", "b")
+
+
+# ---- rounds of joins; ``write`` puts a DataFrame into shared storage, which cuts the lineage after each round
+
+
+def compact_ids(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of weight above 0, numbered from 0 within each graph in the order of their ids; edges between them; the mapping
+    (graph_id, old, node_id).
+
+    Numbering runs in two steps, within ranges of ids and over the ranges' counts, so no task sorts a whole graph.
+    """
+    kept = nodes.where("weight > 0").withColumn("range", F.shiftright("node_id", 48))
+    counts = kept.groupBy("graph_id", "range").agg(F.count(F.lit(1)).alias("c"))
+    ahead = Window.partitionBy("graph_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # 2^16 ranges at most
+    bases = counts.select("graph_id", "range", F.coalesce(F.sum("c").over(ahead), F.lit(0)).alias("base"))
+    place = F.row_number().over(Window.partitionBy("graph_id", "range").orderBy("node_id")) - 1
+    numbered = kept.withColumn("place", place).join(bases, ["graph_id", "range"]).withColumn("new", F.col("base") + F.col("place"))
+    mapping = numbered.select("graph_id", F.col("node_id").alias("old"), F.col("new").alias("node_id"))
+    columns = [F.col("new").alias("node_id") if c == "node_id" else F.col(c) for c in nodes.columns]
+    return numbered.select(*columns), rekey_edges(edges, mapping.withColumnRenamed("node_id", "keeps")), mapping
+
+
+def layered(nodes: DataFrame, edges: DataFrame, write, forward: bool = True) -> DataFrame:
+    """graph_id, node_id, level: longest-path level from 1, from the sources (or the sinks); as many rounds as there are levels."""
+    near, far = ("src", "dst") if forward else ("dst", "src")
+    level = write(nodes.select("graph_id", "node_id", F.lit(1).alias("level"), F.lit(True).alias("moved")))
+    while True:
+        at = level.where("moved").select("graph_id", F.col("node_id").alias(near), (F.col("level") + 1).alias("least"))
+        pushed = edges.join(at, ["graph_id", near]).groupBy("graph_id", F.col(far).alias("node_id")).agg(F.max("least").alias("least"))
+        moved = F.coalesce(F.col("least") > F.col("level"), F.lit(False))
+        level = write(level.drop("moved").join(pushed, ["graph_id", "node_id"], "left").select("graph_id", "node_id", F.greatest("level", "least").alias("level"), moved.alias("moved")))
+        if level.where("moved").isEmpty():
+            return level.drop("moved")
+
+
+def merge_to_fixpoint(nodes: DataFrame, edges: DataFrame, write) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes of equal fragment, headtail and level become one, levels counted backward, then forward, until none are left.
+
+    Gives nodes (coord: their level from the sources), edges, and the mapping (graph_id, old, node_id) of all nodes.
+    """
+    plain = [c for c in nodes.columns if c != "coord"]
+    mapping = write(nodes.select("graph_id", F.col("node_id").alias("old"), "node_id"))
+    nodes, edges = write(nodes.select(*plain)), write(edges)
+    before = None
+    while before != (before := nodes.count()):
+        for forward in (False, True):
+            placed = nodes.join(layered(nodes, edges, write, forward).withColumnRenamed("level", "coord"), ["graph_id", "node_id"])
+            merged, links, step = merge_equivalent(placed, edges)
+            after = step.select("graph_id", F.col("old").alias("node_id"), F.col("node_id").alias("new"))
+            mapping = write(mapping.join(after, ["graph_id", "node_id"]).select("graph_id", "old", F.col("new").alias("node_id")))
+            nodes, edges = write(merged.select(*plain)), write(links)
+    placed = nodes.join(layered(nodes, edges, write).withColumnRenamed("level", "coord"), ["graph_id", "node_id"])
+    return write(placed), edges, mapping
+
+
+def reached(nodes: DataFrame, edges: DataFrame, sources: DataFrame, write, forward: bool = True, banned: DataFrame | None = None, step: Column | None = None) -> DataFrame:
+    """graph_id, node_id, tag: nodes that the sources (graph_id, node_id, tag) lead to, themselves included, with each tag that
+    comes there.  Banned nodes (graph_id, node_id) are not entered; ``step`` says of an edge (coord, next_coord) whether it is walked."""
+    near, far = ("src", "dst") if forward else ("dst", "src")
+    place = nodes.select("graph_id", "node_id", "coord")
+    ways = edges.join(place.select("graph_id", F.col("node_id").alias(near), "coord"), ["graph_id", near])
+    ways = ways.join(place.select("graph_id", F.col("node_id").alias(far), F.col("coord").alias("next_coord")), ["graph_id", far])
+    if step is not None:
+        ways = ways.where(step)
+    if banned is not None:
+        ways = ways.join(banned.select("graph_id", F.col("node_id").alias(far)), ["graph_id", far], "left_anti")
+        sources = sources.join(banned.select("graph_id", "node_id"), ["graph_id", "node_id"], "left_anti")
+    ways = write(ways.select("graph_id", near, far))
+    seen = front = write(sources.select("graph_id", "node_id", "tag").distinct())
+    while not front.isEmpty():
+        onward = front.join(ways.withColumnRenamed(near, "node_id"), ["graph_id", "node_id"]).select("graph_id", F.col(far).alias("node_id"), "tag").distinct()
+        front = write(onward.join(seen, ["graph_id", "node_id", "tag"], "left_anti"))
+        seen = write(seen.unionByName(front))
+    return seen

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqloom.functions import symbols
-from seqloom.operators import alignment, graph, islands, profile
+from seqloom.operators import alignment, build, graph, islands, kernels, profile
 from seqloom.__main__ import main
 from seqloom.plans import align, catalogue, run
 from seqloom.plans.storage import load_alignment, load_graphs, shared_path, written
@@ -125,6 +125,72 @@ def test_alignment_of_mutated_copies(spark):
     assert report.where("best_entropy").count() == report.where("best_sp").count() == 1
 
 
+@pytest.fixture(scope="module")
+def small_graph(spark):
+    """A graph of a few sequences as a kernel holds it before its nodes are merged, and as tables."""
+    rnd = random.Random(14)
+    seed = "".join(rnd.choice("ATCG") for _ in range(20))
+    g = build.Builder(4)
+    for _ in range(3):
+        path = []
+        s = mutated(seed, rnd, 0.05)
+        for i in range(len(s) - 3):
+            path.append(g.node(s[i : i + 4], (1 if i == 0 else 0) | (2 if i == len(s) - 4 else 0), i + 1))
+            g.weight[path[-1]] = 1
+        for a, b in zip(path, path[1:], strict=False):
+            g.edges[a, b] += 1
+        g.paths.append(path)
+    nodes = [(1, v, f, w, h, c) for v, (f, w, h, c) in enumerate(zip(g.fragment, g.weight, g.headtail, g.level, strict=True))]
+    edges = [(1, a, b, w) for (a, b), w in g.edges.items()]
+    return (
+        g, spark.createDataFrame(nodes, "graph_id int, node_id long, fragment string, weight long, headtail int, coord int"),
+        spark.createDataFrame(edges, "graph_id int, src long, dst long, weight long"),
+    )
+
+
+def test_levels_and_merges_in_rounds(spark, small_graph):
+    g, nodes, edges = small_graph
+    assert dict((r["node_id"], r["level"]) for r in graph.layered(nodes, edges, written, False).collect()) == dict(enumerate(kernels.layers(g.dag(), False).tolist()))
+    merged, links, mapping = graph.merge_to_fixpoint(nodes, edges, written)
+    one = build.Builder(4)
+    for f, h, c in zip(g.fragment, g.headtail, g.level, strict=True):
+        one.node(f, h, c)
+    one.weight, one.edges, one.paths = list(g.weight), dict(g.edges), [list(range(len(g.fragment)))]
+    one.merge_equal()
+    expected = sorted(zip(one.fragment, one.headtail, one.level, one.weight, strict=True))
+    assert sorted((r["fragment"], r["headtail"], r["coord"], r["weight"]) for r in merged.collect()) == expected
+    groups = {}
+    for r in mapping.collect():
+        groups.setdefault(r["node_id"], set()).add(r["old"])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(v for v in range(len(g.fragment)) if one.paths[0][v] == n) for n in range(len(one.fragment)))
+    assert links.agg(F.sum("weight")).first()[0] == sum(g.edges.values())
+
+
+def test_ids_are_compacted_and_nodes_removed(spark, small_graph):
+    g, nodes, edges = small_graph
+    spread = F.xxhash64("node_id")
+    far = nodes.withColumn("weight", F.when(F.col("coord") == 3, 0).otherwise(F.col("weight"))).withColumn("node_id", spread)
+    kept, links, mapping = graph.compact_ids(far, edges.withColumn("src", F.xxhash64("src")).withColumn("dst", F.xxhash64("dst")))
+    n = sum(c != 3 for c in g.level)
+    assert sorted(r["node_id"] for r in kept.collect()) == list(range(n)) and mapping.count() == n
+    assert links.count() == sum(3 not in (g.level[a], g.level[b]) for a, b in g.edges)
+    order = [r["node_id"] for r in mapping.orderBy("old").collect()]
+    assert order == sorted(order)
+    assert graph.removed(nodes, nodes.where("coord = 3")).count() == n
+
+
+def test_tagged_walks(spark, small_graph):
+    g, nodes, edges = small_graph
+    starts = [p[0] for p in g.paths]
+    sources = spark.createDataFrame([(1, v, v) for v in starts], "graph_id int, node_id long, tag long")
+    banned = g.paths[0][5]
+    found = graph.reached(nodes, edges, sources, written, banned=nodes.where(F.col("node_id") == banned), step=F.abs(F.col("next_coord") - F.col("coord")) == 1)
+    clean = np.arange(len(g.fragment)) != banned
+    expected = {(v, s) for s in starts for v in np.flatnonzero(kernels.reachable(g.dag(), [s], True, clean)).tolist()}
+    assert {(r["node_id"], r["tag"]) for r in found.collect()} == expected
+    assert graph.reached(nodes, edges, sources, written, step=F.col("next_coord") <= 3).agg(F.max("node_id")).first()[0] is not None
+
+
 def test_log_sum_exp_far_below_zero(spark):
     df = spark.createDataFrame([(1, None, -800.0), (1, None, -800.0), (2, "x", float("-inf")), (3, "", 700.0), (3, "", -800.0)], "a int, b string, logp double")
     found = {r["a"]: r["logp"] for r in symbols.log_sum_exp(df, ["a", "b"], "logp").collect()}
