@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.functions.symbols import ALIGNED, STANDS_FOR
-from seqloom.operators import alignment, consensus, hmm
+from seqloom.operators import alignment, consensus, graph, hmm
 from seqloom.operators.build import Builder
 from seqloom.operators.profile import sequences
 from seqloom.plans import align
 from seqloom.plans.profile_queries import R, S, reads, seqs, sequence_expression, table
 from seqloom.plans.storage import written
 
-ADD, LENGTH, INSERTS = -3.0, 500, [(10, 20), (100, 130)]
+ADD, INSERTS = -3.0, [(10, 20), (100, 130)]
 FRAGMENT, READ_CHUNK = 8, 20
 
 
@@ -79,14 +79,24 @@ def degenerate_emission(spark, sf_dir):
 
 
 def hmm_init(spark, sf_dir):
-    rows = consensus.start_transitions(LENGTH, spark, INSERTS)
+    """Start values of a profile as long as the longest text."""
+    length = int(reads(spark, sf_dir).agg(F.max(F.length("seq"))).first()[0])
+    rows = consensus.start_transitions(length, spark, INSERTS)
     return rows.select(F.col("pos").cast("long").alias("pos"), "kind", F.round(F.greatest("logp", F.lit(-1e9)), 8).alias("logp"))
 
 
 def hyper_grid(spark, sf_dir):
-    share = spark.createDataFrame([(0.001,)], "stem double")
-    add = spark.createDataFrame([(0, -3.0), (1, -5.0)], "param_id long, pseudocount double")
-    return add.select("param_id", "pseudocount", F.lit(share.first()[0]).alias("stem"))
+    """Of each parameter set the strong edges among all texts' symbols, and the likeliest base's smoothed share in the first column."""
+    rows = reads(spark, sf_dir).withColumn("graph_id", F.lit(1))
+    nodes, edges, bases = graph.chain_nodes(rows, 1), graph.chain_edges(rows, 1), alignment.base_counts(alignment.symbol_counts(alignment.naive_cells(rows), int(rows.count())))
+    found = None
+    for param, (share, add) in enumerate(consensus.GRID):
+        strong = graph.stem_edges(nodes, edges, share).agg(F.count(F.lit(1)).alias("n_edges"), F.sum("weight").alias("weight"))
+        top = consensus.smoothed(consensus.profile_columns(bases.where("col = 0")), add).agg(F.round(F.max("prob"), 9).alias("top"))
+        row = strong.select(F.lit(param).cast("long").alias("param_id"), F.lit(share).alias("stem"), F.lit(add).alias("pseudocount"), "n_edges", "weight")
+        row = row.join(top.withColumn("param_id", F.lit(param).cast("long")), "param_id")
+        found = row if found is None else found.unionByName(row)
+    return found
 
 
 def slots_of(spark, sf_dir) -> DataFrame:
@@ -338,9 +348,9 @@ def _hmm_init_sql() -> str:
     first = {"mm": third, "md": third, "mi": third, "dm": "-1e9", "dd": "-1e9"}
     last = {"mm": half, "mi": half, "md": "-1e9", "dd": "-1e9", "dm": "0.0"}
     rows = " UNION ALL ".join(
-        f"SELECT pos, '{k}' AS kind, CASE WHEN pos = 0 THEN {first.get(k, v)} WHEN pos = {LENGTH} THEN {last.get(k, v)} ELSE {v} END AS logp FROM p" for k, v in inner.items()
+        f"SELECT pos, '{k}' AS kind, CASE WHEN pos = 0 THEN {first.get(k, v)} WHEN pos = (SELECT n FROM z) THEN {last.get(k, v)} ELSE {v} END AS logp FROM p" for k, v in inner.items()
     )
-    return f"WITH p AS (SELECT unnest(range(0, {LENGTH + 1})) AS pos), a AS ({rows}) SELECT pos, kind, round(logp, 8) AS logp FROM a"
+    return f"WITH {R}, z AS (SELECT max(length(seq)) AS n FROM s), p AS (SELECT unnest(range(0, n + 1)) AS pos FROM z), a AS ({rows}) SELECT pos, kind, round(logp, 8) AS logp FROM a"
 
 
 #: All state paths of each name: logarithm of the probability, and the steps (state, column, letters read before it).
@@ -391,7 +401,15 @@ SELECT col, sym::bigint AS main FROM u QUALIFY row_number() OVER (PARTITION BY c
     "degenerate_emission": f"""WITH {SMOOTH}, d(symbol, base, n) AS (VALUES {STANDS})
 SELECT pos, symbol, round(ln(sum(prob) / any_value(n)), 8) AS logp FROM h JOIN d USING (base) GROUP BY pos, symbol""",
     "hmm_init": _hmm_init_sql(),
-    "hyper_grid": "SELECT * FROM (VALUES (0::bigint, -3.0::double, 0.001::double), (1::bigint, -5.0::double, 0.001::double)) AS t(param_id, pseudocount, stem)",
+    "hyper_grid": f"""WITH {R}, w AS (SELECT seq_ord, seq, unnest(range(0, length(seq))) AS pos FROM s),
+v AS (SELECT *, substr(seq, pos + 1, 1) AS c, (pos = 0)::int + 2 * (pos = length(seq) - 1)::int AS h FROM w),
+n AS (SELECT pos, c, h, count(*) AS n FROM v GROUP BY ALL),
+e AS (SELECT a.pos, a.c AS c1, a.h AS h1, b.c AS c2, b.h AS h2, count(*) AS w FROM v a JOIN v b ON a.seq_ord = b.seq_ord AND b.pos = a.pos + 1 GROUP BY ALL),
+g(param_id, stem, pseudocount) AS (VALUES {', '.join(f'({i}::bigint, {share}::double, {add}::double)' for i, (share, add) in enumerate(consensus.GRID))}),
+x AS (SELECT param_id, stem, pseudocount, count(*)::bigint AS n_edges, sum(w)::bigint AS weight FROM g, e JOIN n y ON y.pos = e.pos AND y.c = c1 AND y.h = h1
+  JOIN n z ON z.pos = e.pos + 1 AND z.c = c2 AND z.h = h2 WHERE w > stem * y.n AND w > stem * z.n GROUP BY ALL),
+f AS (SELECT b, avg((substr(seq, 1, 1) = b)::int) AS p FROM s, (SELECT unnest(['A', 'T', 'C', 'G']) AS b) WHERE seq <> '' GROUP BY b)
+SELECT x.*, (SELECT round(max(p + exp(pseudocount)) / sum(p + exp(pseudocount)), 9) FROM f) AS top FROM x""",
     "column_layout": f"WITH {SLOTS} SELECT pos, n_insert, first_insert, first_insert + n_insert AS match_col FROM l",
     "cell_place": f"""WITH {SLOTS}, t AS (SELECT l_orderkey * 8 + l_linenumber AS row, l_partkey AS pos, CASE WHEN floor(l_quantity) % 2 = 0 THEN 0 ELSE 2 END AS state,
   substr('ATCGRXN', l_linenumber, 1) AS symbol FROM lineitem)
