@@ -18,14 +18,13 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import held, table
 
 #: Fixed values of the byte-level format: its splitting pattern, and the bytes that stand for themselves.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -141,10 +140,9 @@ class Codec(dict):
         return b"".join(map(self.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-@lru_cache(1)
 def codec(path: str) -> Codec:
     """One codec for each Python worker and file."""
-    return Codec(path)
+    return held(("bpe", path), lambda: Codec(path))
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

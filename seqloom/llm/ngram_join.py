@@ -32,14 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, release, table, text_bytes
 from .shards import bucket_count, bucket_of, dealt, joined, shard_count
-from .shingles import WordHashes, hash_words, mix, multipliers, split_words, window_hashes
+from .shingles import hash_words, mix, multipliers, split_words, window_hashes
 from .substring_dedup import TOLD, tell, within
 
 WORDS, PERCENT = 5, 80
 FACTORS = multipliers(WORDS, 5)
-MEMO = WordHashes()
-#: Rows of an n-gram up to which all pairs are looked at one by one; rows of a block; columns of a block.
-FEW, BLOCK, COLUMNS = 48, 1024, 2048
+#: Rows of an n-gram up to which all pairs are looked at one by one; rows and set entries of a block; columns of a block.
+FEW, BLOCK, ENTRIES, COLUMNS = 48, 1024, 1 << 20, 2048
 #: Set entries that one task of step 3 holds, about.
 BIN_ENTRIES = 4 << 20
 
@@ -47,7 +46,7 @@ BIN_ENTRIES = 4 << 20
 def shingle_set(text: str | None) -> np.ndarray:
     """Distinct n-grams of a text, ascending by hash."""
     words = split_words(text, lower=True)
-    h = hash_words(words, MEMO)
+    h = hash_words(words)
     if not words:
         return np.zeros(0, np.uint64)
     if len(words) < WORDS:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import held
+
 #: Remembered words of a Python worker.
 MEMO = 400_000
 MASK = (1 << 64) - 1
@@ -26,8 +28,8 @@ def split_words(text: str | None, lower: bool = False) -> list[bytes]:
     return (data.lower() if lower else data).split()
 
 
-def hash_words(words: list[bytes], memo: WordHashes) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(held("words", WordHashes).__getitem__, words), np.uint64, len(words))
 
 
 def multipliers(n: int, seed: int) -> np.ndarray:

@@ -38,11 +38,10 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, release, table, text_bytes
 from .shards import bucket_count, cuts, dealt, joined, shard_count
-from .shingles import WordHashes, hash_words, mix, multipliers, split_words, window_hashes
+from .shingles import hash_words, mix, multipliers, split_words, window_hashes
 
 SPAN, SEED = 13, 8
 EDGE_FACTORS, SEED_FACTORS = multipliers(SPAN, 13), multipliers(SEED, 8)
-MEMO = WordHashes()
 #: Marks of an edge: in several documents; links to the edges before and after it branch.
 SEVERAL, INTO, OUT = 1, 2, 4
 
@@ -58,7 +57,7 @@ class Texts:
         hashes, sizes, lines, lengths = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
         for text in docs.column("text").to_pylist():
             words = split_words(text)
-            hashes.append(hash_words(words, MEMO))
+            hashes.append(hash_words(words))
             sizes.append(len(words))
             if keep:
                 lines.append(b" ".join(words))

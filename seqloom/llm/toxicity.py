@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import materialise, table
+from .common import held, materialise, table
 
 EXAMPLES = 8192
 NEIGHBOURS, CLOSEST = 15, 0.05
@@ -109,7 +110,7 @@ class Index:
 
     def __init__(self, packed: list[bytes], toxic: list[int], ids: list[int], frequency: np.ndarray, total: int, chi: np.ndarray | float = 0.0):
         self.idf = (np.log((1 + total) / (1 + frequency)) + 1).astype(np.float64) * np.sqrt(1 + np.asarray(chi, np.float64))
-        self.ids, self.toxic = np.array(ids, np.int64), np.array(toxic, np.float64)
+        self.name, self.ids, self.toxic = uuid.uuid4().hex, np.array(ids, np.int64), np.array(toxic, np.float64)
         pairs = np.frombuffer(b"".join(packed), "<u4").reshape(-1, 2)
         self.terms, self.counts = pairs[:, 0].astype(np.int32), pairs[:, 1].astype(np.uint32)
         self.ends = np.cumsum([0, *(len(x) // 8 for x in packed)], dtype=np.int64)
@@ -122,10 +123,10 @@ class Index:
     def __getstate__(self) -> dict:
         """Only the examples travel, compressed; each worker builds the postings from them."""
         columns = [zlib.compress(np.ascontiguousarray(c).tobytes(), 1) for c in (np.diff(self.terms, prepend=np.int32(0)), self.counts)]
-        return {"idf": self.idf, "ids": self.ids, "toxic": self.toxic, "ends": self.ends, "columns": columns}
+        return {"name": self.name, "idf": self.idf, "ids": self.ids, "toxic": self.toxic, "ends": self.ends, "columns": columns}
 
     def __setstate__(self, state: dict) -> None:
-        self.idf, self.ids, self.toxic, self.ends = state["idf"], state["ids"], state["toxic"], state["ends"]
+        self.name, self.idf, self.ids, self.toxic, self.ends = state["name"], state["idf"], state["ids"], state["toxic"], state["ends"]
         steps, counts = map(zlib.decompress, state["columns"])
         self.terms, self.counts = np.cumsum(np.frombuffer(steps, np.int32), dtype=np.int32), np.frombuffer(counts, np.uint32)
         self.build()
@@ -168,7 +169,6 @@ class Index:
         self.logs = 1 + np.log(np.maximum(1, np.arange(int(self.counts.max(initial=0)) + 1, dtype=np.float64)))
         empty = np.diff(self.ends) == 0
         self.rate_without = float((self.toxic[empty].sum() + self.base()) / (empty.sum() + 1)) if n else 0.0
-        self.memo: dict[bytes, tuple] = {}
 
     def alike(self) -> np.ndarray:
         """Order of the rows by a few rounds of spherical k-means over their frequent terms."""
@@ -262,15 +262,16 @@ class Index:
         """Score and nearest examples of each text."""
         if not len(self.ids):
             return [(0.0, [])] * len(asked)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        new = [d for d in dict.fromkeys(asked) if d and d not in self.memo]
+        memo = held(("toxicity", self.name), dict)
+        if len(memo) >= MEMO:
+            memo.clear()
+        new = [d for d in dict.fromkeys(asked) if d and d not in memo]
         for at in range(0, len(new), TOGETHER):
             some = new[at : at + TOGETHER]
             for data, near in zip(some, self.nearest(some), strict=True):
                 step = int(np.searchsorted(steps[0], self.vote(near), side="right")) - 1
-                self.memo[data] = (float(steps[1][max(0, step)]) if len(steps[1]) else self.base(), near)
-        return [self.memo[d] if d else (self.rate_without, []) for d in asked]
+                memo[data] = (float(steps[1][max(0, step)]) if len(steps[1]) else self.base(), near)
+        return [memo[d] if d else (self.rate_without, []) for d in asked]
 
 
 def document_frequency(docs: DataFrame, vocabulary: Broadcast) -> tuple[np.ndarray, int]:
@@ -278,13 +279,14 @@ def document_frequency(docs: DataFrame, vocabulary: Broadcast) -> tuple[np.ndarr
     size = len(vocabulary.value)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("toxicity", dict)
         counts, n, known = np.zeros(size, np.int64), 0, vocabulary.value
         for batch in slices(batches):
             n += batch.num_rows
             for text in batch.column("text").to_pylist():
                 counts[[i for w in set(tokens(text)) if (i := known.get(w)) is not None]] += 1
-        held = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *held.tolist()], pa.int64()), pa.array([n, *counts[held].tolist()], pa.int64())], ["term", "n"])
+        has = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array([-1, *has.tolist()], pa.int64()), pa.array([n, *counts[has].tolist()], pa.int64())], ["term", "n"])
 
     found = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # a row a term of the examples, and one
     term, n = found.column("term").to_numpy(), found.column("n").to_numpy()
