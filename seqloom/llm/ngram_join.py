@@ -237,7 +237,7 @@ def accumulate(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.nda
     shared = np.bincount(column) > 1  # columns with one entry count for nothing
     entry = shared[column]
     column, owner = (np.cumsum(shared) - 1)[column[entry]], owner[entry]
-    split, total = len(left), np.zeros((len(left), len(right or left)), np.float32)
+    split, total = len(left), np.zeros((len(left), len(right or left)))  # whole numbers, exact far beyond any set's size
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         lo, hi = np.searchsorted(column, [at, at + COLUMNS])
         block = np.zeros((len(rows), COLUMNS), np.float32)
@@ -359,7 +359,7 @@ def row_groups(docs: DataFrame) -> DataFrame:
     release(spark)
     tied = components(tie_rows(prefix), "ties").select(F.col("id").alias("rep"), F.col("component").alias("tie"))
     info = classes.join(tied, "rep")
-    blocks = info.groupBy("tie").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    blocks = info.groupBy("tie").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(ENTRIES))).cast("int").alias("blocks"))
     info = info.join(blocks, "tie").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     info = materialise(info.select("tie", "block", "blocks", "rep", "weight", "n", F.col("at.shard").alias("shard"), F.col("at.doc_id").alias("doc")), "blocks")
     entries = info.agg(F.sum("n")).first()[0] or 0
@@ -409,4 +409,21 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups(table(spark, sf_dir, "documents"))
 
 
+#: All pairs that share a shingle, one by one: for small tables.
+ORACLES = {
+    "op1_ngram_join": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+e AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 100 * k >= 80 * (len(x.g) + len(y.g) - k)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM s UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a),
+n AS (SELECT a AS doc_id, count(*) AS links FROM u GROUP BY a)
+SELECT doc_id, len(g)::bigint AS n_shingles, component_id, coalesce(links, 0)::bigint AS n_links FROM s JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""",
+}
 QUERIES = {"op1_ngram_join": op1_ngram_join}
