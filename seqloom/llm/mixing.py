@@ -9,7 +9,7 @@ others by weight.  Prefix sums run in two steps (within buckets of a key's hash,
 ever holds a whole source.
 
 Edge cases: null text or text without words has size 0 (it is placed, and takes 0 words); null source is a source of
-its own, ordered last; a null ``doc_id`` is kept; repeated rows are separate documents; an empty table gives an empty
+its own, ordered last; a null ``doc_id`` is kept; repeated rows are separate documents, rows of one id and size ordered by their text; an empty table gives an empty
 mix; other columns are not read, and carried only by ``mixed_documents``.
 """
 
@@ -68,10 +68,10 @@ def position_at(share: Column, slope: Column) -> Column:
 
 
 def streams(docs: DataFrame, seed: int, carry: list[str]) -> DataFrame:
-    """doc_id, source, size, key, bucket, stream (the source, never null) and ``carry`` as one struct."""
+    """doc_id, source, size, key, tie (orders rows of one id), bucket, stream (the source, never null) and ``carry`` as one struct."""
     stream = F.when(F.col("source").isNull(), F.lit("")).otherwise(F.concat(F.lit("s"), "source"))
     kept = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []
-    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), stream_key(seed).alias("key"), stream.alias("stream"), *kept)
+    rows = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), stream_key(seed).alias("key"), F.xxhash64("text").alias("tie"), stream.alias("stream"), *kept)
     return rows.withColumn("bucket", F.substring("key", 1, 3))
 
 
@@ -82,7 +82,7 @@ def assign_positions(docs: DataFrame, seed: int = 0, cycle=CYCLE, share=SHARE, c
     copy's words lie before the target, whole tells whether at least half of it does.
     """
     rows = streams(docs, seed, carry or [])
-    narrow = materialise(rows.select("doc_id", "source", "size", "key", "stream", "bucket") if not carry else rows.select("source", "size", "stream", "bucket"), "mix-sizes")
+    narrow = materialise(rows.select("doc_id", "source", "size", "key", "tie", "stream", "bucket") if not carry else rows.select("source", "size", "stream", "bucket"), "mix-sizes")
     rows = rows if carry else narrow
     targets = source_targets(narrow, cycle, share, cap)
     totals = narrow.groupBy("stream", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
@@ -90,7 +90,7 @@ def assign_positions(docs: DataFrame, seed: int = 0, cycle=CYCLE, share=SHARE, c
     totals = totals.withColumn("base", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0)))
     info = totals.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")))
     info = info.select("stream", "bucket", "base", "slot", "source_size", "target")
-    within = Window.partitionBy("stream", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("stream", "bucket").orderBy("key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(info, ["stream", "bucket"])
     start = F.col("base") + F.col("local")
     slope = F.element_at(F.array(*[F.lit(float(s)) for s in slopes]), F.col("slot") % len(slopes) + 1)
