@@ -12,8 +12,8 @@ The wrapper decides what is main text:
   text that is the same on SEEN pages, counts for nothing) and no other child holds much, the child is the container;
 * inside the container, places with the same text on SEEN pages are constants of the form and go, as do repeated groups
   that are nearly all links;
-* elements that by their name hold no article text (menus, headers, footers, forms), or by a whole word of their class, id
-  or role, go unless they are around the container or hold half of its slot text.  Names never empty an ancestor.
+* elements that by their name hold no article text (menus, headers, footers, forms), or by a word of their class, id or
+  role, go unless they are around the container or hold half of its slot text.  Names never empty an ancestor.
 
 A page with little text in its host's container is unlike the form; its container is found in the same way from its own
 stream, with the host's constants left out.
@@ -54,6 +54,11 @@ NO_TEXT_WORDS = set(
     "modal overlay newsletter subscribe subscription signup share sharing social related recommended comment comments respond reply replies discussion "
     "disqus sidebar widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager header masthead footer copyright login toolbar skip".split()
 )
+#: Those of them that say as much as part of a compound name (related-posts, cookie-notice).
+IN_COMPOUNDS = set(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies popup modal newsletter subscribe comment comments respond "
+    "disqus sidebar related recommended breadcrumb breadcrumbs pagination share sharing footer nav".split()
+)
 #: Elements that hold a page's text whatever their names say, and those that mark its main part.
 ALWAYS_TEXT, MAIN = {"html", "body", "main", "article"}, {"main", "article"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -219,10 +224,11 @@ def blocks_of(page: str | None) -> list[tuple[str, tuple[str, ...], str, int]]:
             if at is not None and stack[at][0] in closes:
                 pop(at)
         above = stack[-1] if stack else ("", "", (), True)
-        bad = name in NO_TEXT or block and name not in ALWAYS_TEXT and not NO_TEXT_WORDS.isdisjoint(names.split())
+        words = WORDS.findall(names)
+        bad = name in NO_TEXT or block and name not in ALWAYS_TEXT and not (NO_TEXT_WORDS.isdisjoint(names.split()) and IN_COMPOUNDS.isdisjoint(words))
         path = above[1]
         if block:
-            path += "/" + name + "".join(f".{w}" for w in sorted(set(WORDS.findall(names)))[:4])
+            path += "/" + name + "".join(f".{w}" for w in sorted(set(words))[:4])
         elif bad:
             end_block()
             path += f"/{name}"

@@ -557,6 +557,9 @@ def test_containers_lose_no_part_of_the_text():
     assert all("long" in html_extract.main_text(p, form_of(card)) for p in card)
     form = form_of(pages_of(*[f"<div class=post><p>{f'post {i} ' * 30}</p></div>" for i in range(6)]))
     assert html_extract.main_text(pages_of("<table><tr><td>another form</td></tr></table>")[0], form) == "another form"
+    named = "<div class='post-sidebar-layout'><p>story {0}</p><p>goes on {0}</p><div class='related-posts'><p>other {0}</p></div><div id=cookie-notice>we use {0}</div></div>"
+    compound = pages_of(*[named.format(f"{i} " * 9) for i in range(3)])
+    assert html_extract.main_text(compound[1], form_of(compound)) == f"story {' '.join('1' * 9)} goes on {' '.join('1' * 9)}"
     inside = pages_of(*[f"<div class=comments><p>{f'all {i} ' * 30}</p></div><div class=menu>m{i}</div>" for i in range(3)])
     assert html_extract.main_text(inside[0], form_of(inside)) == " ".join(["all 0"] * 30)
 
