@@ -258,7 +258,7 @@ def assembled(states: DataFrame, length: int) -> tuple[DataFrame, int]:
 @dataclass
 class Aligned:
     """An alignment: the report of all parameter sets, cells (row, col, sym; row is the seq_ord) of that with least entropy, and
-    the graphs of all levels and the parameters that led to it."""
+    the graphs of all levels, consensus (start frequencies and insert ranges) and parameters that led to it."""
 
     report: DataFrame
     cells: DataFrame
@@ -266,6 +266,7 @@ class Aligned:
     n_rows: int
     n_chunks: int
     levels: list[DataFrame]
+    consensus: DataFrame
     parameters: DataFrame
 
     def counts(self) -> DataFrame:
@@ -293,7 +294,8 @@ def aligned(seqs: DataFrame, k: int, chunk: int, write) -> Aligned:
     """Aligns sequences (seq_ord, seq).  ``write`` puts a DataFrame into shared storage and reads it back."""
     levels = merge_levels(write(build_graphs(seqs, k, chunk)), write)
     n_chunks = levels[0].select("graph_id").distinct().count()
-    parameters = write(trained(expected_counts(levels[-1])))
+    counts = write(expected_counts(levels[-1]))
+    parameters = write(trained(counts))
     models = models_of(parameters)
     level = decoding_level(chunk, len(levels))
     paths = write(paths_at(levels, level))
@@ -309,4 +311,4 @@ def aligned(seqs: DataFrame, k: int, chunk: int, write) -> Aligned:
         reports = row if reports is None else reports.unionByName(row)
     report = write(alignment.ranked_report(reports))
     best = report.where("best_entropy").first()["param_id"]
-    return Aligned(report, *drawn[best], n_rows, n_chunks, levels, parameters)
+    return Aligned(report, *drawn[best], n_rows, n_chunks, levels, counts.where("kind IN ('freq', 'hot')"), parameters)

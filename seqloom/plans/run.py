@@ -29,7 +29,7 @@ def align_file(
 ) -> align.Aligned | None:
     """Aligns the sequences of ``source`` (a file, folder or glob) into the folder ``target``.
 
-    sequences, graphs, parameters, alignment (sparse columns and names), report.txt and, for fewer than DRAWN_BELOW chunks or
+    sequences, graphs, consensus, parameters, alignment (sparse columns and names), report.txt and, for fewer than DRAWN_BELOW chunks or
     if ``draw`` says so, align_result.fasta; with ``chunk_files`` also chunk_fasta, one folder for each chunk.
     """
     checked_path(source), checked_path(target)
@@ -43,6 +43,7 @@ def align_file(
         return None
     result = align.aligned(seqs, fragment, chunk, storage.written)
     storage.save_graphs(result.levels, f"{target}/graphs")
+    result.consensus.write.mode("overwrite").parquet(f"{target}/consensus")
     result.parameters.write.mode("overwrite").parquet(f"{target}/parameters")
     names = result.named().join(rows.select(F.col("seq_ord").alias("row"), "seq_id"), "row")
     storage.save_alignment(result.columns(), names, f"{target}/alignment")

@@ -245,6 +245,8 @@ def test_a_file_is_aligned_into_a_folder(spark, tmp_path):
     assert all("".join(letters[n].get(c, "-") for c in range(len(s))) == s for n, s in drawn.items())
     report = (tmp_path / "out" / "report.txt").glob("part-*")
     assert "entropy" in next(report).read_text().splitlines()[0]
+    frequency = spark.read.parquet(f"{target}/consensus").where("kind = 'freq'").groupBy("param_id", "pos").agg(F.sum(F.exp("logp")).alias("p")).collect()
+    assert len(frequency) > 100 and all(r["p"] == pytest.approx(1) for r in frequency)
     best = spark.read.parquet(f"{target}/parameters").select("param_id").distinct().count()
     assert best == 2 and run.stored_scores(spark, target).first()["n_cols"] == len(next(iter(drawn.values())))
     assert load_graphs(spark, f"{target}/graphs", 0, ("node",), [2]).select("graph_id").distinct().collect() == [(2,)]
