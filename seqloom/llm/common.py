@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _HELD: dict = {}
+#: The C library's call that gives freed memory back, where it has one.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give freed memory back to the system: what large arrays of one group took isn't kept for the next."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def held(key, make):
@@ -62,6 +73,7 @@ def held(key, make):
     """
     if key not in _HELD:
         _HELD.clear()
+        trim()
         _HELD[key] = make()
     return _HELD[key]
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, table, text_bytes
+from .common import discard, materialise, release, table, text_bytes, trim
 from .shards import bucket_count, bucket_of, dealt, joined, shard_count
 from .shingles import hash_words, mix, multipliers, split_words, window_hashes
 from .substring_dedup import TOLD, tell, within
@@ -81,6 +81,7 @@ def classes_and_prints(rows: DataFrame, buckets: int, shift: int) -> DataFrame:
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        trim()
         shard, out, seen = key[0].as_py(), [], {}
         for doc, text, text_key in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "text", "key")), strict=True):
             s = shingle_set(text)
@@ -121,6 +122,7 @@ def shared_prints(found: DataFrame) -> DataFrame:
     """shard, hashes (fingerprints that occur elsewhere or twice), docs (in how many shards)."""
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
+        trim()
         prints, many, lengths = [], [], []
         for data in asked.column("prints").to_pylist():
             steps = widen(data)
@@ -147,6 +149,7 @@ def prefixes(rows: DataFrame, shared: DataFrame, shift: int) -> DataFrame:
     names = [f.split()[0] for f in PREFIX.split(", ")]
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
+        trim()
         prints, count = joined(told.column("hashes"), "<u8")[0], joined(told.column("docs"), "<i8")[0]
         order = np.argsort(prints)
         prints, count = prints[order], count[order]
@@ -300,6 +303,7 @@ def links_of(sets: DataFrame, entries: int) -> DataFrame:
     names, kinds = ["src", "dst", "links"], [pa.int64()] * 3
 
     def multiply(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        trim()
         groups: dict[int, list[tuple]] = {}
         for tie, block, rep, weight, data in zip(*(part.column(c).to_pylist() for c in ("tie", "block", "rep", "weight", "set")), strict=True):
             groups.setdefault(tie, []).append((block, rep, weight, np.frombuffer(data, "<u8")))
@@ -325,6 +329,7 @@ def sets_of(rows: DataFrame, info: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table, wanted: pa.Table) -> pa.Table:
+        trim()
         by_rep = {r["rep"]: r for r in wanted.to_pylist()}
         ids, out = {r["doc"] for r in by_rep.values()}, []
         for doc, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").to_pylist(), strict=True):

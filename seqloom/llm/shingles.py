@@ -8,7 +8,7 @@ import xxhash
 from .common import held
 
 #: Remembered words of a Python worker.
-MEMO = 400_000
+MEMO = 200_000
 MASK = (1 << 64) - 1
 
 

@@ -28,6 +28,7 @@ of any length are one run of words; an empty table gives an empty result; other
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, release, table, text_bytes
+from .common import discard, materialise, release, table, text_bytes, trim
 from .shards import bucket_count, cuts, dealt, joined, shard_count
 from .shingles import hash_words, mix, multipliers, split_words, window_hashes
 
@@ -55,7 +56,8 @@ class Texts:
 
     def __init__(self, docs: pa.Table, keep: bool = False):
         hashes, sizes, lines, lengths = [np.zeros(0, np.uint64)], [], [], [np.zeros(0, np.int64)]
-        for text in docs.column("text").to_pylist():
+        parts = (docs.column("text").slice(at, 200).to_pylist() for at in range(0, docs.num_rows, 200))  # few texts are Python objects at once
+        for text in chain.from_iterable(parts):
             words = split_words(text)
             hashes.append(hash_words(words))
             sizes.append(len(words))
@@ -182,6 +184,7 @@ def in_groups(hashes: np.ndarray, docs: np.ndarray, marks: np.ndarray | None, wo
 
 def repeated_seeds(rows: DataFrame, buckets: int) -> DataFrame:
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table) -> pa.Table:
+        trim()
         texts = Texts(docs)
         seeds, owners = texts.seeds(), texts.owner
         new = np.flatnonzero(np.concatenate([[True], (seeds[1:] != seeds[:-1]) | (owners[1:] != owners[:-1])])) if len(seeds) else starts_of(seeds)
@@ -189,6 +192,7 @@ def repeated_seeds(rows: DataFrame, buckets: int) -> DataFrame:
         return ask(key[0].as_py(), buckets, hashes, marks)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
+        trim()
         hashes, lengths = joined(asked.column("hashes"), "<u8")
         marks, _ = joined(asked.column("marks"), "u1")
         shards = np.repeat(asked.column("shard").to_numpy(), lengths)
@@ -207,6 +211,7 @@ def repeated_edges(rows: DataFrame, seeds: DataFrame, buckets: int, bits: int) -
     """shard, hashes, docs (the marks): each shard's repeated edges and which of their links branch."""
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
+        trim()
         repeated = Known(np.sort(joined(told.column("hashes"), "<u8")[0]))
         texts = Texts(docs if told.num_rows else docs.slice(0, 0))
         at, _ = repeated.find(texts.seeds())
@@ -214,6 +219,7 @@ def repeated_edges(rows: DataFrame, seeds: DataFrame, buckets: int, bits: int) -
         return ask(key[0].as_py() if docs.num_rows else 0, buckets, hashes, marks, first, words)
 
     def answer(key: tuple[pa.Scalar, ...], asked: pa.Table) -> pa.Table:
+        trim()
         hashes, lengths = joined(asked.column("hashes"), "<u8")
         docs, marks, words = (joined(asked.column(c), k)[0] for c, k in (("docs", "<i8"), ("marks", "u1"), ("words", "<u8")))
         shards = np.repeat(asked.column("shard").to_numpy(), lengths)
@@ -261,6 +267,7 @@ def path_sources(rows: DataFrame, edges: DataFrame, bits: int) -> DataFrame:
     names = [f.split()[0] for f in PATHS.split(", ")]
 
     def look(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
+        trim()
         graph = Graph(told.column("hashes"), told.column("docs"), bits)
         texts = Texts(docs if told.num_rows else docs.slice(0, 0), keep=True)
         first, _, digests, owner = graph.paths(texts)
@@ -315,6 +322,7 @@ def marked(docs: DataFrame, digest: bool, bits: int = 64) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), last]
 
     def cut(key: tuple[pa.Scalar, ...], docs: pa.Table, told: pa.Table) -> pa.Table:
+        trim()
         known = pc.is_valid(told.column("a"))
         edges = told.filter(pc.invert(known))
         graph = Graph(edges.column("hashes"), edges.column("docs"), bits)
