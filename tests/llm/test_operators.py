@@ -465,6 +465,22 @@ def test_toxicity_uses_all_terms_of_the_examples(spark):
         assert [e["cosine"] for e in r["evidence"]] == pytest.approx(sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS])
         assert all(e["cosine"] == pytest.approx(cosine[e["doc_id"]]) for e in r["evidence"])
 
+    # the whole score by brute force: votes, their calibration on the examples (each without itself), and the step they fall on
+    def vote(i, without):
+        near = sorted((-round(sum(x * vectors[j].get(t, 0) for t, x in vectors[i].items()) / norms[i] / norms[j], 12), j) for j in learnt if j != without)
+        near = [(1 / (toxicity.CLOSEST + 1 + c), known[j][2]) for c, j in near[: toxicity.NEIGHBOURS] if c < 0]
+        return (sum(w * y for w, y in near) + n1 / len(learnt)) / (sum(w for w, _ in near) + 1)
+
+    own = sorted((round(vote(i, i), 9), known[i][2]) for i in learnt)
+    values = sorted({v for v, _ in own})
+    of = [[y for v, y in own if v == x] for x in values]
+    mean = lambda a, b: sum(map(sum, of[a : b + 1])) / sum(map(len, of[a : b + 1]))
+    fitted = [max(min(mean(a, b) for b in range(i, len(of))) for a in range(i + 1)) for i in range(len(of))]
+    for r in rows:
+        at = max([i for i, v in enumerate(values) if v <= round(vote(r["doc_id"], None), 9)], default=0)
+        pool = [y for f, ys in zip(fitted, of, strict=True) if f == pytest.approx(fitted[at]) for y in ys]
+        assert r["score"] == pytest.approx((sum(pool) + 0.5) / (len(pool) + 1))
+
 
 def test_toxicity_edge_cases(spark, edge_docs, labels):
     found = toxicity.score_documents(edge_docs, labels).collect()
