@@ -271,3 +271,32 @@ def test_query_against_duckdb(spark, name):
     ours = sorted((tuple(r) for r in got.select(*columns).collect()), key=key)
     theirs = sorted(expected.select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall(), key=key)
     assert ours == theirs
+
+
+def test_kmers_are_counted_in_packed_pieces(spark):
+    """Runs, repeated texts, k-mers with other symbols, and sequences shorter than k; nothing but pieces travels."""
+    rnd = random.Random(5)
+    seed = "".join(rnd.choice("ATCG") for _ in range(40_000))
+    texts = [seed, seed, seed[7:900], "A" * 700, "T" * 32, "ATC", "", "ACGNNACGT" * 30, "é" + seed[:50], *[seed[i : i + 60] for i in range(0, 3000, 40)] * 12]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_ord long, seq string").repartition(3)
+    for k in (3, 31, 32, 33):
+        counts = {}
+        for t in texts:
+            for i in range(len(t) - k + 1):
+                counts[t[i : i + k]] = counts.get(t[i : i + k], 0) + 1
+        expected = {}
+        for f, n in counts.items():
+            expected.setdefault(n, []).append(f)
+        assert rows(profile.kmer_tallies(df, k).select("n", "n_kmers", "first_kmer")) == sorted((n, len(f), min(f)) for n, f in expected.items())
+
+
+def exchanged(df) -> str:
+    """What the exchanges of a plan deal by."""
+    return "\n".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
+@pytest.mark.parametrize("name", ["kmer_counts"])
+def test_windows_are_not_dealt_out(spark, name):
+    ship(spark)
+    found = exchanged(catalogue.queries()[name](spark, SMALLEST))
+    assert "Exchange" in found and "fragment" not in found
