@@ -288,6 +288,8 @@ def test_kmers_are_counted_in_packed_pieces(spark):
         for f, n in counts.items():
             expected.setdefault(n, []).append(f)
         assert rows(profile.kmer_tallies(df, k).select("n", "n_kmers", "first_kmer")) == sorted((n, len(f), min(f)) for n, f in expected.items())
+        found = profile.kmer_diversity(df, k).first()
+        assert (found["total"], found["distinct_kmers"]) == (sum(counts.values()), len(counts))
 
 
 def exchanged(df) -> str:
@@ -295,7 +297,7 @@ def exchanged(df) -> str:
     return "\n".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
 
 
-@pytest.mark.parametrize("name", ["kmer_counts"])
+@pytest.mark.parametrize("name", ["kmer_counts", "kmer_diversity"])
 def test_windows_are_not_dealt_out(spark, name):
     ship(spark)
     found = exchanged(catalogue.queries()[name](spark, SMALLEST))
