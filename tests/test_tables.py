@@ -297,7 +297,7 @@ def exchanged(df) -> str:
     return "\n".join(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
 
 
-@pytest.mark.parametrize("name", ["kmer_counts", "kmer_diversity"])
+@pytest.mark.parametrize("name", ["kmer_counts", "kmer_diversity", "fragment_length_choice"])
 def test_windows_are_not_dealt_out(spark, name):
     ship(spark)
     found = exchanged(catalogue.queries()[name](spark, SMALLEST))
