@@ -10,10 +10,11 @@ from seqloom.plans import catalogue
 from seqloom.shipping import ship
 from tests.test_tables import SMALLEST, exchanged, test_query_against_duckdb as against_duckdb
 
-QUERIES = ["chain_edges"]
+QUERIES = ["chain_edges", "chain_nodes"]
 #: kernel, its columns, those that tell rows apart (summed over pieces), whether it needs edges
 KERNELS = [
     (chains.edge_weights, "weight long, n long", ["weight"], True),
+    (chains.node_weights, "headtail long, weight long, n long, coords long", ["headtail", "weight"], False),
 ]
 
 
