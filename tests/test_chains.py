@@ -10,13 +10,14 @@ from seqloom.plans import catalogue
 from seqloom.shipping import ship
 from tests.test_tables import SMALLEST, exchanged, test_query_against_duckdb as against_duckdb
 
-QUERIES = ["chain_edges", "chain_nodes", "degrees", "edge_prior"]
+QUERIES = ["chain_edges", "chain_nodes", "degrees", "edge_prior", "edge_stem_filter"]
 #: kernel, its columns, those that tell rows apart (summed over pieces), whether it needs edges
 KERNELS = [
     (chains.edge_weights, "weight long, n long", ["weight"], True),
     (chains.node_weights, "headtail long, weight long, n long, coords long", ["headtail", "weight"], False),
     (chains.degree_counts, "n_in long, n_out long, n long", ["n_in", "n_out"], True),
     (chains.priors, "n_sure long, priors double", [], True),
+    (chains.stems(0.1), "n long, weight long", [], True),
 ]
 
 
