@@ -10,7 +10,7 @@ from seqloom.plans import catalogue
 from seqloom.shipping import ship
 from tests.test_tables import SMALLEST, exchanged, test_query_against_duckdb as against_duckdb
 
-QUERIES = ["chain_edges", "chain_nodes", "degrees", "edge_prior", "edge_stem_filter", "equiv_merge_edges", "equiv_merge_nodes", "fragment_reduce", "fragment_index", "graph_union", "heavy_path_nodes"]
+QUERIES = ["chain_edges", "chain_nodes", "degrees", "edge_prior", "edge_stem_filter", "equiv_merge_edges", "equiv_merge_nodes", "fragment_reduce", "fragment_index", "graph_union", "heavy_path_nodes", "lineage_compose"]
 #: kernel, its columns, those that tell rows apart (summed over pieces), whether it needs edges
 KERNELS = [
     (chains.edge_weights, "weight long, n long", ["weight"], True),
@@ -23,6 +23,7 @@ KERNELS = [
     (chains.reduced(2), "fragment string, headtail long, n long, weight long, coords long, offsets long, n_edges long", ["fragment", "headtail"], True),
     (chains.united, "sources long, weight long, n long, coords long", ["sources", "weight"], False),
     (chains.heavy(2), "fragment string, coord long, headtail long, weight long", ["fragment", "coord", "headtail"], False),
+    (chains.node_counts, "nodes long, windows long, sites long", [], False),
 ]
 
 
