@@ -10,7 +10,7 @@ from seqloom.plans import catalogue
 from seqloom.shipping import ship
 from tests.test_tables import SMALLEST, exchanged, test_query_against_duckdb as against_duckdb
 
-QUERIES = ["chain_edges", "chain_nodes", "degrees", "edge_prior", "edge_stem_filter", "equiv_merge_edges", "equiv_merge_nodes", "fragment_reduce", "fragment_index", "graph_union", "heavy_path_nodes", "lineage_compose", "parents_children", "occurrence_lookup", "same_fragment_pairs", "unique_anchor"]
+QUERIES = ["chain_edges", "chain_nodes", "degrees", "edge_prior", "edge_stem_filter", "equiv_merge_edges", "equiv_merge_nodes", "fragment_reduce", "fragment_index", "graph_union", "heavy_path_nodes", "lineage_compose", "parents_children", "occurrence_lookup", "same_fragment_pairs", "unique_anchor", "start_end_nodes"]
 #: kernel, its columns, those that tell rows apart (summed over pieces), whether it needs edges
 KERNELS = [
     (chains.edge_weights, "weight long, n long", ["weight"], True),
@@ -25,6 +25,7 @@ KERNELS = [
     (chains.heavy(2), "fragment string, coord long, headtail long, weight long", ["fragment", "coord", "headtail"], False),
     (chains.node_counts, "nodes long, windows long, sites long", [], False),
     (chains.start_children_end_parents, "kind string, n long, weight long", ["kind"], True),
+    (chains.starts_ends, "n_start long, w_start long, n_end long, w_end long", [], False),
 ]
 
 
