@@ -302,3 +302,15 @@ def test_windows_are_not_dealt_out(spark, name):
     ship(spark)
     found = exchanged(catalogue.queries()[name](spark, SMALLEST))
     assert "Exchange" in found and "fragment" not in found
+
+
+def test_kmer_sets_are_sized_by_sequence(spark):
+    rnd = random.Random(8)
+    texts = ["".join(rnd.choice(a) for _ in range(n)) for a in ("ATCG", "AT", "ATCGNRY", "éA") for n in (0, 2, 5, 40, 3000)]
+    df = spark.createDataFrame([(i // 2, s) for i, s in enumerate(texts)], "seq_ord long, seq string").repartition(3)  # two rows have one seq_ord
+    for k in (3, 21, 40):
+        sets = {}
+        for i, s in enumerate(texts):
+            sets.setdefault(i // 2, set()).update(s[j : j + k] for j in range(len(s) - k + 1))
+        found = profile.kmer_set_sizes(df, k)
+        assert rows(found) == sorted((i, len(x)) for i, x in sets.items() if x) and "fragment" not in exchanged(found)
