@@ -316,7 +316,7 @@ def test_kmer_sets_are_sized_by_sequence(spark):
         assert rows(found) == sorted((i, len(x)) for i, x in sets.items() if x) and "fragment" not in exchanged(found)
 
 
-ISLAND_QUERIES = ["islands_strict", "null_runs"]
+ISLAND_QUERIES = ["islands_strict", "islands_diagonal", "null_runs"]
 
 
 @pytest.mark.parametrize("name", ISLAND_QUERIES)
