@@ -22,7 +22,7 @@ KERNELS = [
     (chains.merged_nodes, "headtail long, weight long, n long, ords long, places long", ["headtail", "weight"], False),
     (chains.reduced(2), "fragment string, headtail long, n long, weight long, coords long, offsets long, n_edges long", ["fragment", "headtail"], True),
     (chains.united, "sources long, weight long, n long, coords long", ["sources", "weight"], False),
-    (chains.heavy(2), "fragment string, coord long, headtail long, weight long", ["fragment", "coord", "headtail"], False),
+    (chains.heavy(0), "fragment string, coord long, headtail long, weight long", ["fragment", "coord", "headtail"], False),
     (chains.node_counts, "nodes long, windows long, sites long", [], False),
     (chains.start_children_end_parents, "kind string, n long, weight long", ["kind"], True),
     (chains.starts_ends, "n_start long, w_start long, n_end long, w_end long", [], False),
