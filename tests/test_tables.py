@@ -304,6 +304,28 @@ def test_windows_are_not_dealt_out(spark, name):
     assert "Exchange" in found and "fragment" not in found
 
 
+def shuffled(spark) -> int:
+    """Bytes that this session's tasks have written for exchanges so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_fragment_length_is_chosen_on_few_bytes_a_symbol(spark, tmp_path):
+    """Exactly 0.9 of the k-mers distinct is diverse, one copy more isn't; exchanges take less than 4 bytes for each k-mer."""
+    rnd, n = random.Random(11), 50_000
+    texts = ["".join(rnd.choices("abcdEFGH", k=n + 31)) for _ in range(9)]
+    texts += [texts[0].swapcase(), None, "", "a-b c"]
+    for more, expected in (([], 16), ([texts[3][:32]], 32)):
+        path = f"{tmp_path}/{expected}"
+        spark.createDataFrame(list(enumerate(texts + more)), "doc_id long, text string").repartition(3).write.parquet(f"{path}/documents.parquet")
+        before = shuffled(spark)
+        assert rows(catalogue.queries()["fragment_length_choice"](spark, path)) == [(expected,)]
+        sent = shuffled(spark) - before
+        documents = duckdb.read_parquet(f"{path}/documents.parquet/*.parquet")  # noqa: F841
+        assert duckdb.sql(catalogue.oracle_sql()["fragment_length_choice"]).fetchall() == [(expected,)]
+        assert 0 < sent < 4 * 10 * n
+
+
 def test_kmer_sets_are_sized_by_sequence(spark):
     rnd = random.Random(8)
     texts = ["".join(rnd.choice(a) for _ in range(n)) for a in ("ATCG", "AT", "ATCGNRY", "éA") for n in (0, 2, 5, 40, 3000)]
